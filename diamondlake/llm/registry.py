@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
+from .secret_scan import op9_secret_scan
 from .token_counts import op7_token_counts
+from .url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {"op7_token_counts": op7_token_counts}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_url_filter": op4_url_filter,
+    "op7_token_counts": op7_token_counts,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_language_id": op10_language_id,
+}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
