@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .packing import op3_lexical_packing
 from .secret_scan import op9_secret_scan
 from .token_counts import op7_token_counts
 from .url_filter import OP4_SQL, op4_url_filter
 
 QUERIES = {
+    "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
     "op7_token_counts": op7_token_counts,
     "op9_secret_scan": op9_secret_scan,
