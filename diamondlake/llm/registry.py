@@ -7,12 +7,14 @@ from .packing import op3_lexical_packing
 from .secret_scan import op9_secret_scan
 from .token_counts import op7_token_counts
 from .url_filter import OP4_SQL, op4_url_filter
+from .warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
+    "op1_warc_audit": op1_warc_audit,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
     "op7_token_counts": op7_token_counts,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_audit": OP1_SQL, "op4_url_filter": OP4_SQL}
