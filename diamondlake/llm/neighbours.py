@@ -1,0 +1,281 @@
+"""Approximate nearest neighbours by inner product: multiprobe p-stable hashing, reranked exactly.
+
+Vectors are scaled by the largest norm and given one more component that makes them unit vectors, so the largest inner
+product becomes the least Euclidean distance. Gaussian (2-stable) projections, cut into cells, name a bucket in each
+table; a query visits its own bucket and those across the nearest cell walls, in order of the estimated chance that a
+neighbour lies there. All candidates of all visited buckets are compared with the query in double precision.
+
+Defined results: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those
+whose length is not the commonest one; rows equal in id and vector are one row, and a query's own row is the one equal
+to it in both; ties go to the smaller id; a query that finds fewer than ``k`` is answered from all rows, in blocks; an
+empty table gives an empty result; other columns are ignored.
+
+Skew: of equal vectors only the ``k + 1`` smallest ids can ever be returned, so the others are left out of the index,
+which changes no answer; buckets beyond ``BLOCK`` rows are split, and their queries go to each part.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from .common import stored, table
+
+TABLES, HASHES, PROBES = 3, 4, 40
+SEED = 20
+#: Cell widths to choose from, the finest first, and the share of true neighbours that a choice must reach.
+WIDTHS = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0, 8.0)
+TARGET = 0.95
+#: Vectors, and queries among them, on which the width is fitted; every vector is indexed. Fewer vectors have worse
+#: neighbours, which are harder to find, so the sample errs to the safe side.
+SAMPLE, SAMPLE_QUERIES = 8192, 256
+#: Candidates of one task's block at most, about.
+BLOCK = 4096
+#: Found rows held before they are reduced to the best of each query.
+HELD = 1 << 21
+
+ROUTED = "t int, bucket long, kind int, id long, vec array<double>"
+FOUND = "query_id long, vec array<double>, ids array<long>, scores array<double>"
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, vec) of the vectors that take part."""
+    kept = vectors.where(
+        F.col("vec").isNotNull()
+        & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        & F.exists("vec", lambda x: x != 0)
+    )
+    lengths = kept.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
+    return kept.where(F.size("vec") == (lengths["n"] if lengths else 0))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+_MOVES = np.array(list(itertools.product((0, -1, 1), repeat=HASHES)))
+
+
+def _buckets(vec: np.ndarray, largest: float, width: float, query: bool) -> Iterator[np.ndarray]:
+    """Per table the buckets of each vector: one as a candidate, ``PROBES`` as a query, likeliest first."""
+    rng = np.random.default_rng(SEED)
+    directions = rng.standard_normal((TABLES, vec.shape[1] + 1, HASHES))
+    shifts = rng.uniform(0, width, (TABLES, HASHES))
+    norm = np.linalg.norm(vec, axis=1)
+    if query:
+        unit = np.hstack([vec / norm[:, None], np.zeros((len(vec), 1))])
+    else:
+        unit = np.hstack([vec / largest, np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))[:, None]])
+    for t in range(TABLES):
+        at = (unit @ directions[t] + shifts[t]) / width
+        cell = np.floor(at)
+        cells = cell[:, None, :]
+        if query:
+            low = at - cell
+            far = np.stack([np.zeros_like(low), low, 1 - low], axis=2) ** 2
+            cost = sum(far[:, i, _MOVES[:, i]] for i in range(HASHES))
+            cells = cells + _MOVES[np.argsort(cost, axis=1, kind="stable")[:, :PROBES]]
+        yield ((cells.astype(np.int64) + 512) % 1024) @ 1024 ** np.arange(HASHES)
+
+
+def _fitted_width(sample: np.ndarray, largest: float, k: int) -> float:
+    """The finest width at which the sample's queries visit the buckets of enough of their true neighbours."""
+    asked = sample[:SAMPLE_QUERIES]
+    score = asked @ sample.T
+    np.fill_diagonal(score, -np.inf)
+    wanted = min(k, len(sample) - 1)
+    if wanted < 1:
+        return WIDTHS[-1]
+    true = np.argpartition(-score, wanted - 1, axis=1)[:, :wanted]
+    for width in WIDTHS:
+        hit = np.zeros(true.shape, bool)
+        both = zip(_buckets(asked, largest, width, True), _buckets(sample, largest, width, False), strict=True)
+        for visited, held in both:
+            hit |= (held[true][:, :, 0][:, :, None] == visited[:, None, :]).any(axis=2)
+        if hit.mean() >= TARGET:
+            return width
+    return WIDTHS[-1]
+
+
+def _routed(rows: DataFrame, largest: float, width: float, kind: int) -> DataFrame:
+    """Candidates (kind 0) to their bucket of each table, queries (kind 1) to the buckets that they visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, bucket in enumerate(_buckets(_matrix(b.column("vec")), largest, width, bool(kind)) if len(b) else ()):
+                at = pa.array(np.repeat(np.arange(len(b)), bucket.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), t, np.int32)),
+                        pa.array(bucket.ravel()),
+                        pa.array(np.full(len(at), kind, np.int32)),
+                        b.column("id").take(at),
+                        b.column("vec").take(at),
+                    ],
+                    ["t", "bucket", "kind", "id", "vec"],
+                )
+
+    return rows.mapInArrow(run, ROUTED)
+
+
+def _best(cand_ids: np.ndarray, cand: np.ndarray, ids: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query row, candidate id, score) of each query's best k, but for its own row."""
+    rough = vec @ cand.T
+    own = cand_ids[None, :] == ids[:, None]
+    for q, c in zip(*np.nonzero(own), strict=True):
+        own[q, c] = np.array_equal(vec[q], cand[c])
+    rough[own] = -np.inf
+    wide = min(len(cand), 2 * k + 12)
+    some = np.argpartition(-rough, wide - 1, axis=1)[:, :wide] if wide < len(cand) else np.tile(np.arange(len(cand)), (len(vec), 1))
+    value = np.take_along_axis(rough, some, axis=1)
+    # The rough product's last bits depend on a row's place in the block; the score does not.
+    exact = (cand[some] * vec[:, None, :]).sum(axis=2)
+    exact[~np.isfinite(value)] = -np.inf
+    order = np.lexsort((cand_ids[some], -exact), axis=1)[:, :k]
+    score, found = np.take_along_axis(exact, order, axis=1), np.take_along_axis(cand_ids[some], order, axis=1)
+    if wide < len(cand):
+        tied = value.min(axis=1) >= np.sort(value, axis=1)[:, -min(k, wide)] - 1e-9 * np.abs(value).max(axis=1, initial=1.0, where=np.isfinite(value))
+        for q in np.flatnonzero(tied):
+            full = (cand * vec[q]).sum(axis=1)
+            full[own[q]] = -np.inf
+            o = np.lexsort((cand_ids, -full))[:k]
+            score[q], found[q] = full[o], cand_ids[o]
+    row = np.repeat(np.arange(len(vec)), score.shape[1])
+    ok = np.isfinite(score.ravel())
+    return row[ok], found.ravel()[ok], score.ravel()[ok]
+
+
+def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The best k of each query, equal finds taken once."""
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    query, ids, scores = query[new], ids[new], scores[new]
+    rank = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[rank < k], ids[rank < k], scores[rank < k]
+
+
+def _lists(rows: dict[tuple[int, bytes], int], query, ids, scores) -> pa.RecordBatch:
+    ends = np.searchsorted(query, np.arange(len(rows) + 1))
+    keys = list(rows)
+    offsets = pa.array(ends, pa.int32())
+    vecs = [np.frombuffer(v) for _, v in keys]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([i for i, _ in keys], pa.int64()),
+            pa.array(vecs, pa.list_(pa.float64())),
+            pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int64())),
+            pa.ListArray.from_arrays(offsets, pa.array(scores, pa.float64())),
+        ],
+        ["query_id", "vec", "ids", "scores"],
+    )
+
+
+def _searched(routed: DataFrame, k: int) -> DataFrame:
+    """Rows of a block lie together, candidates first; each task returns one row a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, bytes], int] = {}
+        found: list[tuple[np.ndarray, ...]] = []
+        key, ids, vecs, size = None, [], [], 0
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in ("t", "bucket", "part", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1), len(where)]
+            all_ids, all_vecs = b.column("id").to_numpy(), _matrix(b.column("vec")) if len(where) else None
+            for lo, hi in itertools.pairwise(cuts):
+                if lo == hi:
+                    continue
+                block, kind = tuple(where[lo, :3]), where[lo, 3]
+                if block != key:
+                    key, ids, vecs = block, [], []
+                if not kind:
+                    ids.append(all_ids[lo:hi])
+                    vecs.append(all_vecs[lo:hi])
+                elif ids:
+                    ids, vecs = [np.concatenate(ids)], [np.concatenate(vecs)]
+                    step = max(1, (1 << 22) // len(ids[0]))
+                    for at in range(lo, hi, step):
+                        q_ids, q = all_ids[at : min(hi, at + step)], all_vecs[at : min(hi, at + step)]
+                        place = np.array([rows.setdefault((int(i), v.tobytes()), len(rows)) for i, v in zip(q_ids, q, strict=True)])
+                        r, i, s = _best(ids[0], vecs[0], q_ids, q, k)
+                        found.append((place[r], i, s))
+                        size += len(r)
+                    if size > HELD:
+                        found = [_top(*map(np.concatenate, zip(*found, strict=True)), k)]
+                        size = len(found[0][0])
+        if rows:
+            yield _lists(rows, *_top(*map(np.concatenate, zip(*found, strict=True)), k))
+
+    dealt = routed.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "kind")
+    return dealt.select("t", "bucket", "part", "kind", "id", "vec").mapInArrow(run, FOUND)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, bytes], int] = {}
+        parts = []
+        for b in batches:
+            sizes = b.column("ids").value_lengths().to_numpy()
+            vecs = _matrix(b.column("vec")) if len(b) else ()
+            place = np.array([rows.setdefault((i, v.tobytes()), len(rows)) for i, v in zip(b.column("query_id").to_pylist(), vecs, strict=True)], np.int64)
+            parts.append((np.repeat(place, sizes), np.asarray(b.column("ids").flatten()), np.asarray(b.column("scores").flatten())))
+        if rows:
+            yield _lists(rows, *_top(*map(np.concatenate, zip(*parts, strict=True)), k))
+
+    return found.repartition("query_id").mapInArrow(run, FOUND)
+
+
+def _parted(routed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Large buckets in parts: a candidate goes to one of them, a query to each."""
+    sized = routed.join(counts, ["t", "bucket"])
+    part = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return sized.withColumn("part", F.explode(part))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for (id, vec) rows of ``queries`` against (id, vec) rows of ``vectors``."""
+    double = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    rows, asked = (usable(d.select(F.col("id").cast("long").alias("id"), double)) for d in (vectors, queries))
+    own = W.Window.partitionBy("vec").orderBy("id")
+    index = stored(rows.dropDuplicates(["id", "vec"]).withColumn("n", F.row_number().over(own)).where(F.col("n") <= k + 1).drop("n"), "ann-index")
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    facts = index.agg(F.max(norm).alias("norm"), F.max(F.size("vec")).alias("dim"), F.count("*").alias("n")).first()
+    if not facts["n"]:
+        return _ranked(index.select(F.col("id").alias("query_id"), "vec", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("scores")))
+    dim, largest = facts["dim"], facts["norm"]
+    asked = asked.where(F.size("vec") == dim).dropDuplicates(["id", "vec"])
+    few = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
+    width = _fitted_width(np.stack([np.asarray(v, np.float64) for v in few]), largest, k)
+    routed = _routed(index, largest, width, 0)
+    parts = F.ceil(F.count("*") / F.lit(BLOCK)).cast("long")
+    counts = stored(routed.groupBy("t", "bucket").agg(parts.alias("parts")), "ann-buckets")
+    found = _merged(_searched(_parted(routed.unionByName(_routed(asked, largest, width, 1)), counts), k), k)
+    found = stored(found, "ann-found")
+    enough = min(k, facts["n"] - 1)
+    whole = found.where(F.size("ids") >= enough)
+    short = asked.join(whole.select(F.col("query_id").alias("id"), "vec"), ["id", "vec"], "left_anti")
+    if not short.isEmpty():
+        blocks = -(-facts["n"] // BLOCK)
+        flat = lambda d, kind: d.select(F.lit(-1).alias("t"), F.lit(0).cast("long").alias("bucket"), F.lit(kind).alias("kind"), "id", "vec")
+        one = index.sparkSession.createDataFrame([(-1, 0, blocks)], "t int, bucket long, parts long")
+        whole = whole.unionByName(_merged(_searched(_parted(flat(index, 0).unionByName(flat(short, 1)), one), k), k))
+    return _ranked(whole)
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    both = F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score")))
+    return lists.select("query_id", both.alias("at", "x")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score")
+    )
+
+
+def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return nearest(rows, rows.where(F.col("id") % 20 == 0))

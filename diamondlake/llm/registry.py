@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op10_language_id
+from .neighbours import op8_nearest_neighbours
 from .packing import op3_lexical_packing
 from .secret_scan import op9_secret_scan
 from .token_counts import op7_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
