@@ -6,12 +6,14 @@ from .language_id import op10_language_id
 from .neighbours import op8_nearest_neighbours
 from .packing import op3_lexical_packing
 from .secret_scan import op9_secret_scan
+from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op7_token_counts
 from .url_filter import OP4_SQL, op4_url_filter
 from .warc_audit import OP1_SQL, op1_warc_audit
 
 QUERIES = {
     "op1_warc_audit": op1_warc_audit,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
     "op7_token_counts": op7_token_counts,
