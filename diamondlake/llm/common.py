@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,10 +22,18 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no replay."""
-    path = scratch(df.sparkSession, label)
+    """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no replay.
+
+    Spark removes shuffle files once the driver's garbage collector finds nothing that needs them; it is called here,
+    so that a plan of many steps holds the disk of one.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def row_key(*columns: str) -> Column:
@@ -36,3 +45,24 @@ def row_key(*columns: str) -> Column:
 def clear(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with only ``names``: extra columns cannot clash with an operator's own."""
     return df.select(*names)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (id, root): the least id that each one reaches.
+
+    Alternating large and small stars: every step joins edges with one least neighbour an id, so a hub is a skewed
+    join side that Spark can split, never a gathered list. Each round is written, and ends when no edge changes.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, seen = stored(edges, "edges"), None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == seen:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        seen = now

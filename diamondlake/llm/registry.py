@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language_id import op10_language_id
 from .neighbours import op8_nearest_neighbours
+from .ngram_join import op6_ngram_join
 from .packing import op3_lexical_packing
 from .secret_scan import op9_secret_scan
 from .suffix_dedup import op2_suffix_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
+    "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_secret_scan": op9_secret_scan,
