@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_decontamination
 from .language_id import op10_language_id
 from .neighbours import op8_nearest_neighbours
 from .ngram_join import op6_ngram_join
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lexical_packing": op3_lexical_packing,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
     "op6_ngram_join": op6_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_nearest_neighbours": op8_nearest_neighbours,

@@ -9,6 +9,8 @@ import numpy as np
 _M = 0x9E3779B97F4A7C15
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[0x20, *range(0x09, 0x0E)]] = True
+#: The same with all other ASCII characters that are neither letters nor digits.
+PUNCTUATION = _SEPARATORS | np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _CODES = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,16 +31,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, separators: np.ndarray = _SEPARATORS) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word: a run without blank, tab, line end, vertical tab or form feed."""
-    gap = np.concatenate([[True], _SEPARATORS[raw], [True]])
+    gap = np.concatenate([[True], separators[raw], [True]])
     return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
 
 
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, separators: np.ndarray = _SEPARATORS) -> np.ndarray:
     """A hash of each word, A-Z lower-cased, in order."""
     raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    start, end = word_spans(raw)
+    start, end = word_spans(raw, separators)
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _powers(max(10, len(raw).bit_length()))
