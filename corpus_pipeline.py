@@ -5,10 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from diamondlake.llm.common import scratch
+from diamondlake.llm.decontamination import without_leaks
+from diamondlake.llm.language_id import identified
+from diamondlake.llm.ngram_join import one_of_each
+from diamondlake.llm.packing import pack
+from diamondlake.llm.secret_scan import redacted
 
-STAGES: list = []
 
-#: No stage but the secret scan can be put in SQL; tests hold the stages against brute force.
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in no language go: nulls, and those without a letter."""
+    return identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (shingles of five words, similarity 0.8)."""
+    return one_of_each(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text; every document stays."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows: the pieces of each document and their places."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: SQL can express neither the model of the first stage nor the tokens of the last; tests hold them against brute force.
 ORACLE_SQL = None
 
 
