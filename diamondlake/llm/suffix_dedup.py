@@ -7,6 +7,9 @@ hashes are dealt to shards: a shard's segments, one of each content, are joined
 and intervals are extended backwards, breadth first, which sets the common prefix of neighbouring suffixes by rising
 value and stops at the minimum length: what is then unset, repeats.
 
+Bytes that no other segment of the hash shares, counted from the anchor to either side, lie in no repeated window and
+are left out of the shard's text.
+
 A hash with more than ``GROUP`` segments does not fit one shard: its windows are counted one by one, by digest, with
 partial sums before the shuffle. That is exact too, and no group is gathered.
 
@@ -17,6 +20,7 @@ are ignored; a null ``doc_id`` is an id like any other.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +43,12 @@ BETWEEN, END = 0xFF, 0xFE
 ANCHORS = "h long, sd long, k1 long, k2 long, span long"
 
 
-def anchors(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, number of windows) of each anchor; the windows are dealt to them without a gap."""
+def anchors(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first window, number of windows) of each anchor; the windows are dealt to them without a gap."""
     starts = len(text) - length + 1
     if starts < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none
     factor = np.array([0xBF58476D1CE4E5B9], np.uint64)
     x = (text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -61,7 +66,13 @@ def anchors(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     least = np.minimum(least[:starts], least[wide - span :][:starts])
     # The same least hash may belong to two k-mers in turn: the window where the first one leaves starts an anchor.
     first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (least[:-1] == x[: starts - 1])]))
-    return least[first], first, np.diff(np.append(first, starts))
+    found = least[first]
+    low = np.flatnonzero(x <= found.max())
+    low = low[np.argsort(x[low], kind="stable")]
+    at = np.searchsorted(x[low], found)
+    while (early := low[at] < first).any():
+        at += early
+    return found, low[at], first, np.diff(np.append(first, starts))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -69,7 +80,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, text) -> one row per anchor; ``span`` holds its first window and their number (low 10 bits)."""
+    """(k1, k2, text) -> one row per anchor; ``span`` holds its first window, their number and its place in the first
+    window (10 bits each for the last two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,10 +90,10 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                 out: list[list[np.ndarray]] = [[], [], [], [], []]
                 for k1, k2, t in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
                     raw = t.encode()
-                    h, first, n = anchors(np.frombuffer(raw, np.uint8), length)
+                    h, place, first, n = anchors(np.frombuffer(raw, np.uint8), length)
                     ends = first + n + length - 1
                     sd = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
-                    for column, x in zip(out, (_signed(h), _signed(np.array(sd, np.uint64)), np.full(len(h), k1), np.full(len(h), k2), first << 10 | n), strict=True):
+                    for column, x in zip(out, (_signed(h), _signed(np.array(sd, np.uint64)), np.full(len(h), k1), np.full(len(h), k2), first << 20 | n << 10 | place - first), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h", "sd", "k1", "k2", "span"])
 
@@ -158,33 +170,72 @@ def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     return found
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
+    return ((differ & -differ).bit_length() - 1) // 8
+
+
+def _reaches(sides: list[bytes]) -> list[int]:
+    """For each string the longest prefix that it shares with another one."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in itertools.pairwise(order):
+        n = _shared(sides[i], sides[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def trimmed(group: list[tuple[int, int, bytes, int]], length: int) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """Segments of one hash without the bytes that cannot lie in a repeated window: (h, sd, bytes, windows cut off in
+    front, windows in all). Those with no possible window are left out."""
+    left = _reaches([s[:at][::-1] for _, _, s, at in group])
+    right = _reaches([s[at:] for _, _, s, at in group])
+    for (h, sd, s, at), a, b in zip(group, left, right, strict=True):
+        if a + b >= length:
+            yield h, sd, s[at - a : at + b], at - a, len(s) - length + 1
+
+
 def _shards(segments: DataFrame, length: int) -> DataFrame:
-    """(h, sd, segment), one row per content -> (h, sd, mask): a bit for each window that repeats in its hash."""
+    """(h, sd, segment, place), one row per content -> (h, sd, mask): a bit for each window that repeats in its hash;
+    no row where none does."""
 
-    def solve(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        text = np.frombuffer(bytes([BETWEEN]).join(s for _, _, s in held) + bytes([BETWEEN, END]), np.uint8)
+    def solve(held: list[tuple[int, int, bytes, int, int]]) -> pa.RecordBatch:
+        text = np.frombuffer(bytes([BETWEEN]).join(x[2] for x in held) + bytes([BETWEEN, END]), np.uint8)
         flags = repeated(text, length)
-        masks, at = [], 0
-        for _, _, s in held:
-            masks.append(np.packbits(flags[at : at + len(s) - length + 1]).tobytes())
+        rows, at = [], 0
+        for h, sd, s, cut, windows in held:
+            own = flags[at : at + len(s) - length + 1]
+            if own.any():
+                mask = np.zeros(windows, bool)
+                mask[cut : cut + len(own)] = own
+                rows.append((h, sd, np.packbits(mask).tobytes()))
             at += len(s) + 1
-        columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64()), pa.array(masks, pa.binary())]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
         return pa.RecordBatch.from_arrays(columns, ["h", "sd", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        group: list[tuple[int, int, bytes, int]] = []
+        held: list[tuple[int, int, bytes, int, int]] = []
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("h", "sd", "segment")), strict=True):
-                if size > SHARD_BYTES and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[2]) + 1
+            for row in zip(*(b.column(c).to_pylist() for c in ("h", "sd", "segment", "place")), strict=True):
+                if group and row[0] != group[-1][0]:
+                    held += (new := list(trimmed(group, length)))
+                    size += sum(len(x[2]) + 1 for x in new)
+                    group = []
+                    if size > SHARD_BYTES:
+                        yield solve(held)
+                        held, size = [], 0
+                group.append(row)
+        held += trimmed(group, length)
         if held:
             yield solve(held)
 
-    dealt = segments.select("h", "sd", "segment").repartition("h").sortWithinPartitions("h", "sd")
+    dealt = segments.select("h", "sd", "segment", "place").repartition("h").sortWithinPartitions("h", "sd")
     return dealt.mapInArrow(run, "h long, sd long, mask binary")
 
 
@@ -220,29 +271,31 @@ def _segments(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, rows in zip(b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 raw = text.encode()
                 for r in rows:
-                    first, n = r["span"] >> 10, r["span"] & 1023
-                    for column, x in zip(out, (r["h"], r["sd"], r["kind"], raw[first : first + n + length - 1]), strict=True):
+                    first, n, place = r["span"] >> 20, r["span"] >> 10 & 1023, r["span"] & 1023
+                    segment = raw[first : first + n + length - 1]
+                    for column, x in zip(out, (r["h"], r["sd"], r["kind"], segment, place), strict=True):
                         column.append(x)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["h", "sd", "kind", "segment"])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32())
+            names = ["h", "sd", "kind", "segment", "place"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "sd", "span", "kind")).alias("rows"))
-    return keyed.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "rows").mapInArrow(run, "h long, sd long, kind string, segment binary")
+    return keyed.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "rows").mapInArrow(run, "h long, sd long, kind string, segment binary, place int")
 
 
-def kept(raw: bytes, marks: list[dict], length: int = LENGTH) -> tuple[bytes, int]:
-    """The bytes outside every repeated window, and the number of maximal runs removed."""
-    change = np.zeros(len(raw) + 1, np.int64)
-    for m in marks:
-        first, n = m["span"] >> 10, m["span"] & 1023
-        flags = np.ones(n, bool) if m["mask"] is None else np.unpackbits(np.frombuffer(m["mask"], np.uint8))[:n].astype(bool)
-        starts = first + np.flatnonzero(flags)
+def kept(raw: bytes, spans: np.ndarray, masks: list[bytes | None], length: int = LENGTH) -> tuple[bytes, int]:
+    """The bytes outside every repeated window, and the number of maximal runs removed. A mask None is all ones."""
+    first, n = spans >> 20, spans >> 10 & 1023
+    whole = np.array([m is None for m in masks], bool)
+    change = np.bincount(first[whole], minlength=len(raw) + 1) - np.bincount((first + n + length - 1)[whole], minlength=len(raw) + 1)
+    for i in np.flatnonzero(~whole).tolist():
+        starts = first[i] + np.flatnonzero(np.unpackbits(np.frombuffer(masks[i], np.uint8))[: n[i]])
         change[starts] += 1
-        change[np.minimum(starts + length, len(raw))] -= 1
+        change[starts + length] -= 1
     gone = np.cumsum(change[:-1]) > 0
     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), runs
@@ -253,7 +306,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     text = F.coalesce(F.col("text"), F.lit(""))
     number = F.coalesce(F.expr("try_cast(doc_id AS bigint)"), F.lit(-1).cast("long"))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("k1"), number.alias("k2"))
-    every = _anchored(keyed, length)
+    every = stored(_anchored(keyed, length), "suffix-windows")
     kind = F.when(F.col("low") == F.col("high"), "equal").when(F.col("n") > group, "large").otherwise("mixed")
     hashes = every.groupBy("h").agg(F.count("*").alias("n"), F.min("sd").alias("low"), F.max("sd").alias("high")).where("n > 1")
     marks = stored(every.join(hashes.select("h", kind.alias("kind")), "h"), "suffix-anchors")
@@ -263,20 +316,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     parts = stored(_segments(keyed, differ, length), "suffix-segments")
     found = _shards(parts.where("kind = 'mixed'"), length).unionByName(_windows(parts.where("kind = 'large'"), length))
     # A content that occurs twice repeats whole, whatever the rest of its hash holds.
-    masks = found.join(differ.select("h", "sd", "n"), ["h", "sd"], "right").select(
-        "h", "sd", F.when(F.col("n") == 1, F.coalesce("mask", F.lit(b""))).alias("mask")
-    )
-    masks = stored(masks, "suffix-masks")
+    masks = differ.select("h", "sd", "n").join(found, ["h", "sd"], "left").where("n > 1 OR mask IS NOT NULL")
+    masks = stored(masks.select("h", "sd", F.when(F.col("n") == 1, F.col("mask")).alias("mask")), "suffix-masks")
     equal = marks.where("kind = 'equal'").select("k1", "k2", "span", F.lit(None).cast("binary").alias("mask"))
     rest = marks.where("kind <> 'equal'").join(masks, ["h", "sd"]).select("k1", "k2", "span", "mask")
     by_doc = equal.unionByName(rest).groupBy("k1", "k2").agg(F.collect_list(F.struct("span", "mask")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+            out, marks = [], b.column("marks")
+            ends = marks.offsets.to_pylist()
+            flat = marks.values
+            spans, masks = flat.field("span").to_numpy(zero_copy_only=False), flat.field("mask").to_pylist()
+            for t, lo, hi in zip(b.column("text").to_pylist(), ends, ends[1:], strict=False):
                 raw = t.encode()
-                out.append((len(raw), *(kept(raw, m, length) if m else (raw, 0))))
+                out.append((len(raw), *(kept(raw, spans[lo:hi], masks[lo:hi], length) if hi > lo else (raw, 0))))
             types = (pa.int64(), pa.binary(), pa.int64())
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), columns[0], columns[2], columns[1]], ["doc_id", "n_bytes", "n_spans", "kept"])
