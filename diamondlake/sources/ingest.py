@@ -13,7 +13,7 @@ FILE = "file_name"
 HEADER_BYTES = 1 << 16
 
 
-def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+def header_groups(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
     """(columns, files) for each distinct header. Reading files of different headers together would map by position."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
     text = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
@@ -22,7 +22,7 @@ def header_groups(spark: SparkSession, path: str) -> list[tuple[list[str], list[
     return [(r["header"].split(","), r["paths"]) for r in found.orderBy("header").collect() if r["header"]]
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as strings, only the empty field null, with the file's name; headers are united by name."""
     parts = []
     for columns, files in header_groups(spark, path):
@@ -110,7 +110,7 @@ def quarantine(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows.join(bad, FILE, "left_anti"), bad
 
 
-def ingest(spark: SparkSession, path: str, ledger: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest(spark: SparkSession, path: str | list[str], ledger: DataFrame | None = None) -> dict[str, DataFrame]:
     """Files under ``path`` that the ledger lacks: clean rows, failures, cast failures, and one status a file."""
     raw = read_raw(spark, path)
     if ledger is not None:

@@ -87,3 +87,14 @@ def test_tree_prunes(spark, tmp_path):
     assert [tuple(r) for r in layout.unknown_dates(tree).collect()] == [("Others", 1)]
     plan = tree.where("part = 'D1' AND file_year = '2024'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(part" in plan
+
+
+def test_stream_takes_each_file_once(spark, raw, tmp_path):
+    from diamondlake.streaming import serve_games
+
+    tree, state = str(tmp_path / "tree"), str(tmp_path / "state")
+    for _ in range(2):
+        serve_games(spark, raw, tree, state, files=2).awaitTermination()
+    served = layout.read_tree(spark, tree)
+    assert served.groupBy("file_name").count().count() == 3 and served.count() == 5
+    assert served.where("base_state IS NULL").isEmpty()
