@@ -361,30 +361,30 @@ over_pitches(
 
 # Biography ----------------------------------------------------------------------------------------
 
-UNIVERSE = """, seen AS (SELECT Batter AS Name, coalesce(BatterId, '') AS TrackManId, BatterTeam AS t, Level, Date FROM pitches UNION ALL SELECT Pitcher, coalesce(PitcherId, ''), PitcherTeam, Level, Date FROM pitches),
-universe AS (SELECT Name, TrackManId, min(substr(Date, 1, 4)::INT) AS first_year, max(substr(Date, 1, 4)::INT) AS last_year, list_sort(list(DISTINCT t)) AS teams, bool_or(Level = 'D1') AS is_d1, max(Date) AS last_seen FROM seen GROUP BY 1, 2)"""
-BIO = """, own AS (SELECT c_name AS Name, CASE WHEN c_custkey % 23 <> 0 THEN c_custkey::VARCHAR ELSE '' END AS TrackManId, c_custkey % 20 + 60 AS HeightIn,
+UNIVERSE = """, seen AS (SELECT Batter AS Name, coalesce(BatterId, '') AS PlayerId, BatterTeam AS t, Level, Date FROM pitches UNION ALL SELECT Pitcher, coalesce(PitcherId, ''), PitcherTeam, Level, Date FROM pitches),
+universe AS (SELECT Name, PlayerId, min(substr(Date, 1, 4)::INT) AS first_year, max(substr(Date, 1, 4)::INT) AS last_year, list_sort(list(DISTINCT t)) AS teams, bool_or(Level = 'D1') AS is_d1, max(Date) AS last_seen FROM seen GROUP BY 1, 2)"""
+BIO = """, own AS (SELECT c_name AS Name, CASE WHEN c_custkey % 23 <> 0 THEN c_custkey::VARCHAR ELSE '' END AS PlayerId, c_custkey % 20 + 60 AS HeightIn,
   CASE c_custkey % 4 WHEN 0 THEN 'not_found' WHEN 1 THEN 'no_height' ELSE 'found' END AS Status, c_custkey AS seq FROM customer WHERE c_custkey % 3 < 2),
-bio AS (SELECT * FROM own UNION ALL SELECT Name, TrackManId, HeightIn + 1, 'manual', seq + 10000000 FROM own WHERE seq % 7 = 0),
-newest AS (SELECT * FROM bio QUALIFY row_number() OVER (PARTITION BY Name, TrackManId ORDER BY seq DESC) = 1)"""
-over_pitches("player_universe", f"SELECT Name, TrackManId, {n('first_year', 'first_year')}, {n('last_year', 'last_year')}, array_to_string(teams, ',') AS teams, is_d1, last_seen FROM universe", UNIVERSE)
-over_pitches("bio_latest_wins", f"SELECT Name, TrackManId, {n('HeightIn', 'HeightIn')}, Status, seq FROM newest", BIO)
+bio AS (SELECT * FROM own UNION ALL SELECT Name, PlayerId, HeightIn + 1, 'manual', seq + 10000000 FROM own WHERE seq % 7 = 0),
+newest AS (SELECT * FROM bio QUALIFY row_number() OVER (PARTITION BY Name, PlayerId ORDER BY seq DESC) = 1)"""
+over_pitches("player_universe", f"SELECT Name, PlayerId, {n('first_year', 'first_year')}, {n('last_year', 'last_year')}, array_to_string(teams, ',') AS teams, is_d1, last_seen FROM universe", UNIVERSE)
+over_pitches("bio_latest_wins", f"SELECT Name, PlayerId, {n('HeightIn', 'HeightIn')}, Status, seq FROM newest", BIO)
 over_pitches(
     "pending_players",
-    "SELECT Name, TrackManId, is_d1, last_seen FROM universe u WHERE NOT EXISTS (SELECT 1 FROM newest b WHERE b.Name = u.Name AND b.TrackManId = u.TrackManId AND b.Status NOT IN ('not_found', 'ambiguous', 'no_height'))",
+    "SELECT Name, PlayerId, is_d1, last_seen FROM universe u WHERE NOT EXISTS (SELECT 1 FROM newest b WHERE b.Name = u.Name AND b.PlayerId = u.PlayerId AND b.Status NOT IN ('not_found', 'ambiguous', 'no_height'))",
     UNIVERSE + BIO,
 )
 over_pitches(
     "bio_lookup_fallback",
-    f"""SELECT p.Name, p.TrackManId, {n("CASE WHEN b.Name IS NOT NULL THEN b.HeightIn ELSE (SELECT arg_min(x.HeightIn, (SELECT min(seq) FROM bio y WHERE y.Name = x.Name AND y.TrackManId = x.TrackManId)) FROM newest x WHERE x.Name = p.Name) END", "HeightIn")}
-    FROM (SELECT DISTINCT Name, CASE WHEN length(Name) % 2 = 0 THEN 'x' ELSE TrackManId END AS TrackManId FROM universe) p LEFT JOIN newest b ON b.Name = p.Name AND b.TrackManId = p.TrackManId""",
+    f"""SELECT p.Name, p.PlayerId, {n("CASE WHEN b.Name IS NOT NULL THEN b.HeightIn ELSE (SELECT arg_min(x.HeightIn, (SELECT min(seq) FROM bio y WHERE y.Name = x.Name AND y.PlayerId = x.PlayerId)) FROM newest x WHERE x.Name = p.Name) END", "HeightIn")}
+    FROM (SELECT DISTINCT Name, CASE WHEN length(Name) % 2 = 0 THEN 'x' ELSE PlayerId END AS PlayerId FROM universe) p LEFT JOIN newest b ON b.Name = p.Name AND b.PlayerId = p.PlayerId""",
     UNIVERSE + BIO,
 )
 ORACLES["year_overlap_candidates"] = f"""
 WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 > 0 THEN 1995 END AS f, CASE WHEN c_custkey % 9 > 0 THEN 1995 + c_custkey % 3 END AS l, i FROM customer, range(3) g(i) WHERE (c_custkey + i) % 4 <> 0),
 d AS (SELECT *, i < 2 AS same, CASE WHEN (k + i) % 5 > 0 THEN 1990 + (k * 3 + i * 2) % 11 END AS y0, CASE WHEN (k + i) % 5 > 0 THEN 1990 + (k * 3 + i * 2) % 11 + i END AS y1 FROM c),
 e AS (SELECT *, bool_or(same) OVER (PARTITION BY k) AS any_same FROM d)
-SELECT 'Van  Last, C.' || k AS Name, k::VARCHAR AS TrackManId, i::VARCHAR AS url, {n("count(*) OVER (PARTITION BY k)", "n_candidates")} FROM e
+SELECT 'Van  Last, C.' || k AS Name, k::VARCHAR AS PlayerId, i::VARCHAR AS url, {n("count(*) OVER (PARTITION BY k)", "n_candidates")} FROM e
 WHERE (same OR (NOT any_same AND contains('jr c' || k || ' van last', 'c' || k || ' van last'))) AND (y0 IS NULL OR l IS NULL OR (y0 - 1 <= l AND y1 + 1 >= f))
 """
 ORACLES["draft_eligibility"] = f"""

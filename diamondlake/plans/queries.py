@@ -305,8 +305,8 @@ def _bio_table(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_custkey % 3 < 2")
     key = F.when(F.col("c_custkey") % 23 != 0, F.col("c_custkey").cast("string")).otherwise(F.lit(""))
     status = F.when(F.col("c_custkey") % 4 == 0, "not_found").when(F.col("c_custkey") % 4 == 1, "no_height").otherwise("found")
-    one = c.select(F.col("c_name").alias("Name"), key.alias("TrackManId"), (F.col("c_custkey") % 20 + 60).cast("int").alias("HeightIn"), status.alias("Status"), F.col("c_custkey").alias("seq"))
-    two = one.where("seq % 7 = 0").select("Name", "TrackManId", (F.col("HeightIn") + 1).alias("HeightIn"), F.lit("manual").alias("Status"), (F.col("seq") + 10_000_000).alias("seq"))
+    one = c.select(F.col("c_name").alias("Name"), key.alias("PlayerId"), (F.col("c_custkey") % 20 + 60).cast("int").alias("HeightIn"), status.alias("Status"), F.col("c_custkey").alias("seq"))
+    two = one.where("seq % 7 = 0").select("Name", "PlayerId", (F.col("HeightIn") + 1).alias("HeightIn"), F.lit("manual").alias("Status"), (F.col("seq") + 10_000_000).alias("seq"))
     return one.unionByName(two)
 
 
@@ -317,12 +317,12 @@ def bio_latest_wins(spark, sf_dir):
 
 @query
 def pending_players(spark, sf_dir):
-    return bio.pending(bio.universe(pitches(spark, sf_dir)), _bio_table(spark, sf_dir), retry=True, cap=None).select("Name", "TrackManId", "is_d1", "last_seen")
+    return bio.pending(bio.universe(pitches(spark, sf_dir)), _bio_table(spark, sf_dir), retry=True, cap=None).select("Name", "PlayerId", "is_d1", "last_seen")
 
 
 @query
 def bio_lookup_fallback(spark, sf_dir):
-    players = bio.universe(pitches(spark, sf_dir)).select("Name", F.when(F.length("Name") % 2 == 0, F.lit("x")).otherwise(F.col("TrackManId")).alias("TrackManId")).distinct()
+    players = bio.universe(pitches(spark, sf_dir)).select("Name", F.when(F.length("Name") % 2 == 0, F.lit("x")).otherwise(F.col("PlayerId")).alias("PlayerId")).distinct()
     return bio.bio_lookup(players, _bio_table(spark, sf_dir))
 
 
@@ -330,12 +330,12 @@ def bio_lookup_fallback(spark, sf_dir):
 def year_overlap_candidates(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("Van  Last, C."), F.col("c_custkey").cast("string"))
-    players = c.select(name.alias("Name"), F.col("c_custkey").cast("string").alias("TrackManId"), F.when(F.col("c_custkey") % 9 > 0, 1995).alias("first_year"), F.when(F.col("c_custkey") % 9 > 0, 1995 + F.col("c_custkey") % 3).cast("int").alias("last_year"))
+    players = c.select(name.alias("Name"), F.col("c_custkey").cast("string").alias("PlayerId"), F.when(F.col("c_custkey") % 9 > 0, 1995).alias("first_year"), F.when(F.col("c_custkey") % 9 > 0, 1995 + F.col("c_custkey") % 3).cast("int").alias("last_year"))
     places = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")
-    found = c.select(name.alias("Name"), F.col("c_custkey").cast("string").alias("TrackManId"), "c_custkey", places).where("(c_custkey + i) % 4 <> 0")
-    shown = F.when(F.col("i") == 2, F.concat(F.lit("Jr C"), F.col("TrackManId"), F.lit(" Van Last"))).otherwise(F.concat(F.lit("c"), F.col("TrackManId"), F.lit(" VAN Last")))
+    found = c.select(name.alias("Name"), F.col("c_custkey").cast("string").alias("PlayerId"), "c_custkey", places).where("(c_custkey + i) % 4 <> 0")
+    shown = F.when(F.col("i") == 2, F.concat(F.lit("Jr C"), F.col("PlayerId"), F.lit(" Van Last"))).otherwise(F.concat(F.lit("c"), F.col("PlayerId"), F.lit(" VAN Last")))
     start = F.when((F.col("c_custkey") + F.col("i")) % 5 > 0, 1990 + (F.col("c_custkey") * 3 + F.col("i") * 2) % 11).cast("int")
-    rows = found.select("Name", "TrackManId", F.col("i").cast("string").alias("url"), shown.alias("cand_name"), start.alias("y0"), (start + F.col("i")).alias("y1"))
+    rows = found.select("Name", "PlayerId", F.col("i").cast("string").alias("url"), shown.alias("cand_name"), start.alias("y0"), (start + F.col("i")).alias("y1"))
     return bio.candidates(players, rows)
 
 
