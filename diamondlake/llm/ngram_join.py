@@ -33,7 +33,7 @@ from .common import components, forget, stored, table
 from .shingles import shingle_set
 
 #: Bits of a signature by size of the set: up to so many shingles, so many bits. Wider ones fold to narrower ones.
-SIGNATURES = ((768, 1024), (3072, 4096), (1 << 62, 16384))
+SIGNATURES = ((768, 1024), (3072, 2048), (1 << 62, 4096))
 TILE = 2048
 #: Passing pairs a row at which a tile counts as dense.
 DENSE = 8
@@ -58,14 +58,14 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits)
 
 
-#: For each byte, its two halves as one bit each: whether any of their four bits is set.
-_HALVES = np.array([2 * (b > 15) + (b % 16 > 0) for b in range(256)], np.uint8)
+#: For each byte, its four pairs of bits as one bit each: whether either is set.
+_PAIRS = np.array([sum(((b >> 2 * i & 3) > 0) << i for i in range(4)) for b in range(256)], np.uint8)
 
 
 def folded(packed: np.ndarray) -> np.ndarray:
-    """Packed signatures [row, byte] at a quarter of the width: four neighbouring bits joined by or."""
-    x = _HALVES[packed].reshape(len(packed), -1, 4)
-    return x[:, :, 0] << 6 | x[:, :, 1] << 4 | x[:, :, 2] << 2 | x[:, :, 3]
+    """Packed signatures [row, byte] at half the width: neighbouring bits joined by or."""
+    x = _PAIRS[packed].reshape(len(packed), -1, 2)
+    return x[:, :, 0] << 4 | x[:, :, 1]
 
 
 def least_difference(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -352,7 +352,7 @@ def _rooted(keyed: DataFrame, words: int, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of (doc_id, text)."""
     owned = _rooted(_keyed(docs), words, percent)
-    least = owned.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    least = stored(owned.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least")), "join-least")
     out = owned.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
