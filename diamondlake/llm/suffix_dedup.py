@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import forget, stored, table
 
 LENGTH = 200
 KMER = 32
@@ -309,7 +309,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     every = stored(_anchored(keyed, length), "suffix-windows")
     kind = F.when(F.col("low") == F.col("high"), "equal").when(F.col("n") > group, "large").otherwise("mixed")
     hashes = every.groupBy("h").agg(F.count("*").alias("n"), F.min("sd").alias("low"), F.max("sd").alias("high")).where("n > 1")
-    marks = stored(every.join(hashes.select("h", kind.alias("kind")), "h"), "suffix-anchors")
+    # Written, so that the join has an exchange on both sides and Spark can split a hash with very many anchors.
+    hashes = stored(hashes.select("h", kind.alias("kind")), "suffix-hashes")
+    marks = stored(every.join(hashes, "h"), "suffix-anchors")
+    forget(every)
     rep = F.min(F.struct("k1", "k2", "span")).alias("r")
     differ = marks.where("kind <> 'equal'").groupBy("h", "sd", "kind").agg(F.count("*").alias("n"), rep)
     differ = stored(differ.select("h", "sd", "kind", "n", "r.*"), "suffix-contents")
