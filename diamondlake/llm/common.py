@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in small pieces: a worker then holds the Python objects of some hundred texts, not of ten thousand."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.slice(lo, rows)
+
+
 def row_key(*columns: str) -> Column:
     """A key made from content only, so a replayed task gives the same one. Rows that are equal share it."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns]

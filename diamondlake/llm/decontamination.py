@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 from .shingles import PUNCTUATION, word_hashes
 
 WINDOW, STRIDE = 32, 16
@@ -34,7 +34,7 @@ SHORT = 8
 COMMON, KEPT = 0.1, 8
 ITEMS, ITEM_BYTES = 2048, 1 << 23
 SEED = 5
-ROWS = 1 << 15
+ROWS = 1 << 14
 
 FOUND = "item long, cosine double, overlap double, answered boolean, at long"
 
@@ -68,7 +68,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         n = np.zeros(len(known) + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 w = words(t)
                 at = np.minimum(np.searchsorted(known, w), len(known) - 1)
@@ -238,22 +238,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held_space, numbers = shared.value
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.slice(lo, 256)
-                    found = matches(held_space, [words(t) for t in part.column("text").to_pylist()])
-                    keys, values = list(found), list(found.values())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64())),
-                            pa.array([numbers[i] for _, i in keys], pa.int64()),
-                            pa.array([v[1] for v in values], pa.float64()),
-                            pa.array([v[0] for v in values], pa.float64()),
-                            pa.array([bool(v[2]) for v in values], pa.bool_()),
-                            pa.array([v[3] for v in values], pa.int64()),
-                        ],
-                        ["doc_id", "number", "cosine", "overlap", "answered", "at"],
-                    )
+            for part in slices(batches, 128):
+                found = matches(held_space, [words(t) for t in part.column("text").to_pylist()])
+                keys, values = list(found), list(found.values())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64())),
+                        pa.array([numbers[i] for _, i in keys], pa.int64()),
+                        pa.array([v[1] for v in values], pa.float64()),
+                        pa.array([v[0] for v in values], pa.float64()),
+                        pa.array([bool(v[2]) for v in values], pa.bool_()),
+                        pa.array([v[3] for v in values], pa.int64()),
+                    ],
+                    ["doc_id", "number", "cosine", "overlap", "answered", "at"],
+                )
 
         out = out.unionByName(rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, {FOUND.replace('item long', 'number long')}"))
     best = F.max(F.struct("overlap", "cosine", "answered", "at")).alias("x")

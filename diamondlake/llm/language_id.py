@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -91,7 +91,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list[str]] = {}
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
                 by.setdefault(label, []).append(text)
@@ -153,7 +153,8 @@ def predicted(text: Column, model: tuple[list[str], np.ndarray], spark) -> Colum
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labels, matrix = shared.value
         for s in parts:
-            found, p = score(s.tolist(), labels, matrix)
+            said = [score(s.iloc[lo : lo + 512].tolist(), labels, matrix) for lo in range(0, len(s), 512)]
+            found, p = [x for f, _ in said for x in f], np.concatenate([q for _, q in said] or [np.zeros(0)])
             yield pd.DataFrame({"lang_pred": pd.Series(found, dtype=object), "score": p})
 
     return run(F.coalesce(text, F.lit("")))

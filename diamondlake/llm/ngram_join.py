@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import components, forget, stored, table
+from .common import components, forget, slices, stored, table
 from .shingles import shingle_set
 
 #: Bits of a signature by size of the set: up to so many shingles, so many bits. Wider ones fold to narrower ones.
@@ -96,7 +96,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             some = n >= FREQUENT
             return pa.RecordBatch.from_arrays([pa.array(_signed(found[some])), pa.array(n[some])], ["g", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 held.append(shingle_set(t, words))
                 size += len(held[-1])
@@ -117,7 +117,7 @@ def _prepared(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], []]
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, words)
@@ -288,7 +288,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             texts = [z.compress(t.encode()) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(texts, pa.binary())], ["k1", "k2", "packed"])
 
@@ -302,7 +302,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         read = functools.lru_cache(maxsize=64)(lambda raw: shingle_set(z.decompress(raw).decode(), words))
-        for b in batches:
+        for b in slices(batches):
             both = zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)
             ok = pa.array([linked(read(x), read(y), percent) for x, y in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
