@@ -1,9 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages and weighted by TF-IDF, with document frequencies counted over all documents. A
-randomised SVD, its products summed over tasks, gives the latent space of a block of passages; every window of every
-document is folded into it, and windows close to a passage by cosine, with enough of its weight, are candidates. The
-longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) too.
+Benchmark items are cut into passages. Every window of every document that holds enough of a passage's words to reach
+the least overlap is a candidate: an index of each passage's rarest words finds them, and by its bound it misses none.
+The longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) and the
+share of the passage's TF-IDF weight too, with document frequencies counted over all documents. A randomised SVD, its
+products summed over tasks, gives the latent space of a block of passages, in which the cosine of a found window is
+reported; no window is dropped for its cosine, so the rank bears on nothing else.
 
 Defined results: null or wordless texts and items match nothing; repeated rows come back once a pair (doc_id, item);
 empty tables give an empty result; equal items each have their row; other columns are ignored. Words are runs of
@@ -26,7 +28,8 @@ from .shingles import PUNCTUATION, word_hashes
 
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, POWER = 96, 10, 2
-COSINE, WEIGHT = 0.5, 0.4
+#: Share of a passage's squared TF-IDF weight that a paraphrase must hold.
+WEIGHT = 0.4
 SAME, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.8, 0.6, 5, 0.6
 #: Items of fewer words must occur whole.
 SHORT = 8
@@ -34,7 +37,6 @@ SHORT = 8
 COMMON, KEPT = 0.1, 8
 ITEMS, ITEM_BYTES = 2048, 1 << 23
 SEED = 5
-ROWS = 1 << 14
 
 FOUND = "item long, cosine double, overlap double, answered boolean, at long"
 
@@ -51,7 +53,11 @@ def passages(w: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Space:
-    """A block of items: its terms, their weighted latent vectors, and the passages folded in."""
+    """A block of items: its terms, their weighted latent vectors, and the passages folded in.
+
+    ``weights`` has each passage's distinct words and their squared weights. ``rare`` are the words that find passages:
+    those at ``first[i]`` to ``first[i + 1]`` of ``holders``, and a passage needs ``least`` of its own in one region.
+    """
 
     items: list[np.ndarray]
     owner: np.ndarray
@@ -59,6 +65,11 @@ class Space:
     terms: np.ndarray
     vectors: np.ndarray
     folded: np.ndarray
+    weights: list[tuple[np.ndarray, np.ndarray]]
+    rare: np.ndarray
+    first: np.ndarray
+    holders: np.ndarray
+    least: np.ndarray
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -130,7 +141,8 @@ def build_space(docs: DataFrame, items: list[str]) -> Space:
     terms = np.unique(np.concatenate([p for _, p in cut] or [np.zeros(0, np.uint64)]))
     owner = np.array([i for i, _ in cut], np.int64)
     if not len(terms):
-        return Space(split, owner, [], terms, np.zeros((0, 0)), np.zeros((0, 0)))
+        none = np.zeros(0, np.int64)
+        return Space(split, owner, [], terms, np.zeros((0, 0)), np.zeros((0, 0)), [], terms, none, none, none)
     df, n = _frequencies(docs, terms)
     idf = np.log1p(n / (df + 0.5))
     rows, used = [], df <= COMMON * max(n, 1)
@@ -147,7 +159,33 @@ def build_space(docs: DataFrame, items: list[str]) -> Space:
     right = randomised_svd(frame, int(used.sum()), RANK)
     folded = np.stack([np.array(x) @ right[t] for t, x in matrix])
     vectors = (idf[used][:, None] * right).astype(np.float32)
-    return Space(split, owner, [p for _, p in cut], terms[used], vectors, folded.astype(np.float32))
+    texts = [p for _, p in cut]
+    weights = [(terms[at], (tf * idf[at]) ** 2) for at, tf in rows]
+    return Space(split, owner, texts, terms[used], vectors, folded.astype(np.float32), weights, *_rare(split, owner, texts, terms, df))
+
+
+def least_share(item: np.ndarray) -> float:
+    """The share of a passage's words, in order, that a leak of this item has at least."""
+    return 1.0 if len(item) < SHORT else PARAPHRASE
+
+
+def _rare(items: list[np.ndarray], owner: np.ndarray, texts: list[np.ndarray], terms: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Index of the passages' rarest words.
+
+    A leak lacks at most ``spare`` of a passage's words, so of any ``spare + k`` of them it has k. The rarest are asked.
+    """
+    found, least = [], []
+    for i, p in zip(owner.tolist(), texts, strict=True):
+        need = int(np.ceil(least_share(items[i]) * len(p) - 1e-9))
+        k = min(need, len(p) if len(items[i]) < SHORT else max(3, len(p) // 6))
+        at = np.searchsorted(terms, p)
+        found.append(at[np.argsort(df[at], kind="stable")[: len(p) - need + k]])
+        least.append(k)
+    holder = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+    at = np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    rare, count = np.unique(at, return_counts=True)
+    return terms[rare], np.concatenate([[0], np.cumsum(count)]), holder[order], np.array(least, np.int64)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -163,48 +201,52 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _candidates(space: Space, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, float]]:
-    """(document, window, passage, cosine) of windows near a passage."""
-    length = np.linalg.norm(space.folded, axis=1)
-    unit = space.folded / np.maximum(length, 1e-12)[:, None]
-    least = WEIGHT * length[length > 0].min(initial=np.inf)
+def _spread(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each range, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _candidates(space: Space, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(document, window, passage) of all windows whose region holds enough of the passage's rarest words.
+
+    The region of window w is the steps w - 1 to w + 2. Words that occur more than once count as often, which only adds
+    candidates.
+    """
     every = np.concatenate(docs)
     sizes = np.array([len(d) for d in docs])
-    at = np.minimum(np.searchsorted(space.terms, every), len(space.terms) - 1)
-    hit = np.flatnonzero(space.terms[at] == every)
+    at = np.minimum(np.searchsorted(space.rare, every), len(space.rare) - 1)
+    hit = np.flatnonzero(space.rare[at] == every)
+    if not len(hit):
+        return
     doc = np.repeat(np.arange(len(docs)), sizes)[hit]
-    position = hit - np.repeat(np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)[hit]
-    step = position // STRIDE
-    key = doc * (1 << 40) + step
-    keys = np.concatenate([key, key[step > 0] - 1])
-    terms = np.concatenate([at[hit], at[hit][step > 0]])
-    order = np.argsort(keys, kind="stable")
-    keys, terms = keys[order], terms[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(keys))
-    lo = 0
-    while lo < len(first):
-        hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + ROWS, side="right")))
-        part = slice(first[lo], ends[hi - 1])
-        x = np.add.reduceat(space.vectors[terms[part]], first[lo:hi] - first[lo], axis=0)
-        norm = np.linalg.norm(x, axis=1)
-        able = np.flatnonzero(norm >= least)
-        dot = x[able] @ unit.T
-        cosine = dot / np.maximum(norm[able], 1e-12)[:, None]
-        for r, p in zip(*np.nonzero((cosine >= COSINE) & (dot >= WEIGHT * length[None, :]) & (length > 0)[None, :]), strict=True):
-            k = int(keys[first[lo + able[r]]])
-            yield k >> 40, k & ((1 << 40) - 1), int(p), float(cosine[r, p])
-        lo = hi
+    step = (hit - (np.cumsum(sizes) - sizes)[doc]) // STRIDE
+    count = np.diff(space.first)[at[hit]]
+    passage = space.holders[_spread(space.first[at[hit]], count)]
+    steps = int(step.max()) + 8
+    key = np.sort((np.repeat(doc, count) * len(space.texts) + passage) * steps + np.repeat(step, count))
+    last = np.arange(len(key)) + space.least[key // steps % len(space.texts)] - 1
+    begins = np.flatnonzero(last < len(key))
+    begins = begins[key[last[begins]] - key[begins] <= 3]
+    low = np.maximum(key[last[begins]] - 2, key[begins] // steps * steps)
+    for k in np.unique(_spread(low, key[begins] + 2 - low)).tolist():
+        yield k // steps // len(space.texts), k % steps, k // steps % len(space.texts)
+
+
+def _cosine(space: Space, window: np.ndarray, p: int) -> float:
+    """Cosine of a window of words and a passage in the latent space."""
+    at = np.minimum(np.searchsorted(space.terms, window), len(space.terms) - 1)
+    x = space.vectors[at[space.terms[at] == window]].sum(axis=0)
+    return float(x @ space.folded[p] / max(float(np.linalg.norm(x) * np.linalg.norm(space.folded[p])), 1e-12))
 
 
 def matches(space: Space, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, bool, int]]:
     """(document, item) -> best (overlap, cosine, answered, first word of the window)."""
     best: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-    for d, window, p, cosine in _candidates(space, docs):
+    for d, window, p in _candidates(space, docs):
         text, item = space.texts[p], int(space.owner[p])
         begin = max(0, (window - 1) * STRIDE)
         region = docs[d][begin : window * STRIDE + WINDOW + STRIDE]
-        need = 1.0 if len(space.items[item]) < SHORT else PARAPHRASE
+        need = least_share(space.items[item])
         if np.isin(text, region).mean() < need:
             continue
         overlap = common_subsequence(text, region) / len(text)
@@ -213,8 +255,12 @@ def matches(space: Space, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple
         answer = space.items[item][-ANSWER_WORDS:]
         near = docs[d][begin : window * STRIDE + len(space.items[item]) + 2 * STRIDE]
         answered = common_subsequence(answer, near) >= ANSWER * len(answer)
-        if overlap >= SAME or answered:
-            best[d, item] = max(best.get((d, item), (0.0, 0.0, False, 0)), (overlap, cosine, answered, window * STRIDE))
+        if overlap < SAME:
+            terms, weight = space.weights[p]
+            if not answered or weight[np.isin(terms, region)].sum() < WEIGHT * weight.sum():
+                continue
+        cosine = _cosine(space, docs[d][window * STRIDE : window * STRIDE + WINDOW], p)
+        best[d, item] = max(best.get((d, item), (0.0, -1.0, False, 0)), (overlap, cosine, answered, window * STRIDE))
     return best
 
 

@@ -283,6 +283,23 @@ def test_leaks_are_found_and_clean_documents_kept(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_leaks_of_more_passages_than_the_rank(spark):
+    rng = random.Random(11)
+    vocabulary, odds = [f"w{i}" for i in range(400)], [1 / (i + 3) for i in range(400)]
+    prose = lambda n: rng.choices(vocabulary, odds, k=n)
+    items = [prose(32) for _ in range(600)]
+    docs = []
+    for i in range(150):
+        told = list(items[i])
+        for at in rng.sample(range(27), 6):
+            told[at] = "changed"
+        docs.append((i, " ".join(prose(rng.randint(1, 90)) + told + prose(40))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(d, b).collect()}
+    assert {(i, i) for i in range(150)} <= found
+
+
 def test_leak_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (1, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, None)], "item_id long, text string")
