@@ -2,7 +2,8 @@
 
 Benchmark items are cut into passages. Every window of every document that holds enough of a passage's words to reach
 the least overlap is a candidate: an index of each passage's rarest words finds them, and by its bound it misses none.
-The longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) and the
+Windows are as long as the passage, up to 32 words, or less than twice as long, and are searched with half a window on
+either side. The longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) and the
 share of the passage's TF-IDF weight too, with document frequencies counted over all documents. A randomised SVD, its
 products summed over tasks, gives the latent space of a block of passages, in which the cosine of a found window is
 reported; no window is dropped for its cosine, so the rank bears on nothing else.
@@ -57,6 +58,7 @@ class Space:
 
     ``weights`` has each passage's distinct words and their squared weights. ``rare`` are the words that find passages:
     those at ``first[i]`` to ``first[i + 1]`` of ``holders``, and a passage needs ``least`` of its own in one region.
+    ``strides`` has the step of each passage's windows.
     """
 
     items: list[np.ndarray]
@@ -70,6 +72,7 @@ class Space:
     first: np.ndarray
     holders: np.ndarray
     least: np.ndarray
+    strides: np.ndarray
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -142,7 +145,7 @@ def build_space(docs: DataFrame, items: list[str]) -> Space:
     owner = np.array([i for i, _ in cut], np.int64)
     if not len(terms):
         none = np.zeros(0, np.int64)
-        return Space(split, owner, [], terms, np.zeros((0, 0)), np.zeros((0, 0)), [], terms, none, none, none)
+        return Space(split, owner, [], terms, np.zeros((0, 0)), np.zeros((0, 0)), [], terms, none, none, none, none)
     df, n = _frequencies(docs, terms)
     idf = np.log1p(n / (df + 0.5))
     rows, used = [], df <= COMMON * max(n, 1)
@@ -164,6 +167,11 @@ def build_space(docs: DataFrame, items: list[str]) -> Space:
     return Space(split, owner, texts, terms[used], vectors, folded.astype(np.float32), weights, *_rare(split, owner, texts, terms, df))
 
 
+def stride(passage: np.ndarray) -> int:
+    """Half of a window that is as long as the passage, or up to twice as long: a power of two."""
+    return min(STRIDE, 1 << max(0, (len(passage) - 1).bit_length() - 1))
+
+
 def least_share(item: np.ndarray) -> float:
     """The share of a passage's words, in order, that a leak of this item has at least."""
     return 1.0 if len(item) < SHORT else PARAPHRASE
@@ -185,7 +193,8 @@ def _rare(items: list[np.ndarray], owner: np.ndarray, texts: list[np.ndarray], t
     at = np.concatenate(found)
     order = np.argsort(at, kind="stable")
     rare, count = np.unique(at, return_counts=True)
-    return terms[rare], np.concatenate([[0], np.cumsum(count)]), holder[order], np.array(least, np.int64)
+    strides = np.array([stride(p) for p in texts], np.int64)
+    return terms[rare], np.concatenate([[0], np.cumsum(count)]), holder[order], np.array(least, np.int64), strides
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -219,11 +228,12 @@ def _candidates(space: Space, docs: list[np.ndarray]) -> Iterator[tuple[int, int
     if not len(hit):
         return
     doc = np.repeat(np.arange(len(docs)), sizes)[hit]
-    step = (hit - (np.cumsum(sizes) - sizes)[doc]) // STRIDE
+    place = hit - (np.cumsum(sizes) - sizes)[doc]
     count = np.diff(space.first)[at[hit]]
     passage = space.holders[_spread(space.first[at[hit]], count)]
+    step = np.repeat(place, count) // space.strides[passage]
     steps = int(step.max()) + 8
-    key = np.sort((np.repeat(doc, count) * len(space.texts) + passage) * steps + np.repeat(step, count))
+    key = np.sort((np.repeat(doc, count) * len(space.texts) + passage) * steps + step)
     last = np.arange(len(key)) + space.least[key // steps % len(space.texts)] - 1
     begins = np.flatnonzero(last < len(key))
     begins = begins[key[last[begins]] - key[begins] <= 3]
@@ -243,9 +253,9 @@ def matches(space: Space, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple
     """(document, item) -> best (overlap, cosine, answered, first word of the window)."""
     best: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
     for d, window, p in _candidates(space, docs):
-        text, item = space.texts[p], int(space.owner[p])
-        begin = max(0, (window - 1) * STRIDE)
-        region = docs[d][begin : window * STRIDE + WINDOW + STRIDE]
+        text, item, step = space.texts[p], int(space.owner[p]), int(space.strides[p])
+        begin = max(0, (window - 1) * step)
+        region = docs[d][begin : (window + 3) * step]
         need = least_share(space.items[item])
         if np.isin(text, region).mean() < need:
             continue
@@ -253,14 +263,14 @@ def matches(space: Space, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple
         if overlap < need:
             continue
         answer = space.items[item][-ANSWER_WORDS:]
-        near = docs[d][begin : window * STRIDE + len(space.items[item]) + 2 * STRIDE]
+        near = docs[d][begin : (window + 2) * step + len(space.items[item])]
         answered = common_subsequence(answer, near) >= ANSWER * len(answer)
         if overlap < SAME:
             terms, weight = space.weights[p]
             if not answered or weight[np.isin(terms, region)].sum() < WEIGHT * weight.sum():
                 continue
-        cosine = _cosine(space, docs[d][window * STRIDE : window * STRIDE + WINDOW], p)
-        best[d, item] = max(best.get((d, item), (0.0, -1.0, False, 0)), (overlap, cosine, answered, window * STRIDE))
+        cosine = _cosine(space, docs[d][window * step : (window + 2) * step], p)
+        best[d, item] = max(best.get((d, item), (0.0, -1.0, False, 0)), (overlap, cosine, answered, window * step))
     return best
 
 

@@ -300,6 +300,24 @@ def test_leaks_of_more_passages_than_the_rank(spark):
     assert {(i, i) for i in range(150)} <= found
 
 
+def test_short_items_are_found_beside_other_terms(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(500)]
+    items = [rng.choices(vocabulary, k=n) for n in range(3, 12) for _ in range(12)]
+    others = [rng.choices(vocabulary, k=40) for _ in range(100)]
+    docs = []
+    for i, w in enumerate(items):
+        host = rng.choices(vocabulary, k=rng.randint(60, 200))
+        at = rng.randrange(len(host) + 1)
+        docs.append((i, " ".join(host[:at] + w + host[at:])))
+    far = [items[0][0], *["x"] * 12, *items[0][1:]]
+    docs.append((-1, " ".join(far)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items + others)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(d, b).collect()}
+    assert {(i, i) for i in range(len(items))} <= found and (-1, 0) not in found
+
+
 def test_leak_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f g h i j k l"), (1, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, None)], "item_id long, text string")
