@@ -462,11 +462,22 @@ def stratified_folds(p):
     return knn.folds(_batted(p)).groupBy("PlayResult", "fold").agg(F.count("*").alias("n"))
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 5).alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(knn.FEATURES)])
+
+
 @query
 def knn_label_proba(spark, sf_dir):
+    """The kNN kernel on the query set that the SQL states, every twentieth id, so that a join can check it."""
+    e = _vectors(spark, sf_dir)
+    return knn.label_proba(e, e.where("id % 20 = 0"), 5, 0.5)
+
+
+@query
+def knn_label_proba_all(spark, sf_dir):
     """Five nearest vectors' labels for each vector, by the kNN kernel on three components; shares of five labels."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 5).alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(knn.FEATURES)])
-    return knn.proba_sql_twin(e, e.where("id % 20 = 0"), 5, 0.5)
+    e = _vectors(spark, sf_dir)
+    return knn.label_proba(e, e, 5, 0.5)
 
 
 @over_pitches
