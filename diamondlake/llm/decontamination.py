@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import row_key, slices, stored, table
 from .shingles import PUNCTUATION, word_hashes
 
 WINDOW, STRIDE = 32, 16
@@ -316,10 +316,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their columns as they were."""
-    leaks = stored(find_leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct(), "leaks")
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they were. Rows go by id and text, so
+    that a leak takes no other row with its id, or without one."""
     mark = next(n for i in range(len(docs.columns) + 1) if (n := f"__leak{i}") not in {c.lower() for c in docs.columns})
-    return docs.join(leaks.select(F.col("doc_id").alias(mark)), F.col("doc_id").eqNullSafe(F.col(mark)), "left_anti")
+    keyed = docs.withColumn(mark, row_key("doc_id", "text"))
+    leaks = stored(find_leaks(keyed.select(F.col(mark).alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "leaks")
+    return keyed.join(leaks.select(F.col("doc_id").alias(mark)), mark, "left_anti").drop(mark)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -326,6 +326,14 @@ def test_leak_edges(spark):
     assert [r["doc_id"] for r in decontamination.without_leaks(d, b).collect()] == [1]
 
 
+def test_a_leak_takes_no_row_that_shares_its_id(spark):
+    leak = "a b c d e f g h i j k l"
+    d = spark.createDataFrame([(None, leak), (None, "clean"), (2, leak), (2, "clean too"), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    kept = decontamination.without_leaks(d, b)
+    assert kept.columns == d.columns and {r["text"] for r in kept.collect()} == {"clean", "clean too", None}
+
+
 def test_svd_spans_the_matrix(spark):
     rng = np.random.default_rng(1)
     dense = rng.normal(size=(30, 4)) @ rng.normal(size=(4, 40))
