@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.shared import written
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations")
 
 _TEXT = """
@@ -83,11 +85,21 @@ def pitches_cte(dialect: str = "duckdb") -> str:
     return _TEXT.format(**words)
 
 
-def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pitch table made from ``lineitem``, with its own temporary views."""
     own = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier", "nation")}
     text = f"WITH {pitches_cte('spark')} SELECT * FROM pitches"
     for name in own:
         text = text.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
-    made = spark.sql(text, **own)
-    return made.withColumnRenamed("half_name", "Top/Bottom")
+    return spark.sql(text, **own).withColumnRenamed("half_name", "Top/Bottom")
+
+
+_TREES: dict[tuple[str, str], DataFrame] = {}
+
+
+def pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as the engine keeps pitches: files in folders by part and year. Made once a session and directory."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TREES:
+        _TREES[key] = written(made(spark, sf_dir), "pitches", "part", "file_year")
+    return _TREES[key]
