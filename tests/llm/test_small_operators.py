@@ -226,7 +226,7 @@ def check_pieces(rows, texts, window=packing.WINDOW):
 def test_packing_round_trip(spark):
     texts = [*ODD, *(f"document number {i} about {'birds' if i % 2 else 'trains'} " * (i * 7 % 50) for i in range(120))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("shard", F.lit("x"))
-    check_pieces(packing.pack(docs, BPE, shard_bytes=60_000).collect(), texts)
+    check_pieces(packing.pack(docs, BPE, shard_ids=15_000).collect(), texts)
 
 
 def test_packing_repeated_rows_and_empty(spark):
@@ -236,16 +236,79 @@ def test_packing_repeated_rows_and_empty(spark):
     assert packing.pack(docs.limit(0), BPE).count() == 0
 
 
-def test_neighbours_fill_the_window():
-    rng = np.random.default_rng(2)
-    topics = [rng.integers(1000 * t, 1000 * t + 60, 40).astype(np.uint32) for t in (1, 2) for _ in range(6)]
-    order = rng.permutation(len(topics))
-    first = next(packing.windows([topics[i] for i in order], 240))
-    kinds = {int(topics[order[d]][0]) // 1000 for d, _, _ in first}
-    assert len(first) == 6 and len(kinds) == 1
+RUNS = {"line ends": "\n" * 1_000_000, "blanks": " " * 1_000_000 + "x", "mixed": " \n\t" * 300_000, "letters": "x" * 1_000_000, "digits": "1" * 1_000_000, "signs": "!" * 1_000_000, "no-break": "\u00a0" * 600_000 + "."}
+
+
+@pytest.mark.parametrize("kind", list(RUNS))
+def test_encoder_on_long_runs(kind):
+    assert packing.encoder(BPE)(RUNS[kind]) == Tokenizer.from_file(BPE).encode(RUNS[kind], add_special_tokens=False).ids
+
+
+def test_packing_long_runs(spark):
+    texts = [RUNS["line ends"], "short", RUNS["blanks"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack(docs, BPE).collect(), texts)
+
+
+def corpus_of(docs):
+    df = np.zeros(1 + max(int(d.max()) for d in docs if len(d)), np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return packing.Corpus(len(docs), sum(map(len, docs)) / len(docs), df)
+
+
+def plain_bm25(query, doc, docs):
+    """The textbook sum over the query's distinct terms."""
+    mean, out = sum(map(len, docs)) / len(docs), 0.0
+    for t in set(query.tolist()):
+        df, tf = sum(t in d for d in docs), int((doc == t).sum())
+        norm = tf + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean)
+        out += np.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / norm
+    return out
+
+
+def random_docs(rng, n=60):
+    return [np.minimum(rng.zipf(1.4, rng.integers(0, 60)), 500).astype(np.int64) for _ in range(n)]
+
+
+def test_scores_equal_plain_bm25():
+    docs = random_docs(np.random.default_rng(5))
+    shard = docs[:40]
+    index = packing.Bm25(shard, corpus_of(docs))
+    for query in (docs[3], docs[50], np.zeros(0, np.int64), np.array([9_999])):
+        assert np.allclose(index.scores(query), [plain_bm25(query, d, docs) for d in shard], rtol=1e-5)
+
+
+def test_windows_take_the_best_unused_neighbours():
+    docs = random_docs(np.random.default_rng(6))
+    held = [packing.Doc(i, np.append(d, 1).astype("<u4")) for i, d in enumerate(docs)]
+    packer = packing.Packer(corpus_of(docs), 128)
+    made = [*packer.add(held), *packer.rest()]
+    used: set[int] = set()
+    for sequence in made[:-12]:
+        seed = sequence[0][0]
+        used.add(seed.doc_id)
+        for doc, _, _ in sequence[1:]:
+            score = {i: plain_bm25(docs[seed.doc_id], d, docs) for i, d in enumerate(docs) if i not in used}
+            assert score[doc.doc_id] >= max(score.values()) - 1e-4
+            used.add(doc.doc_id)
+    assert len({d.doc_id for s in made for d, _, _ in s}) == len(docs)
+
+
+def test_related_documents_meet_in_any_number_of_shards(spark):
+    rng = np.random.default_rng(7)
+    topics = [[f"{w}{t}" for w in ("zeppelin", "quasar", "obsidian", "marzipan")] for t in "ABCDEFGH"]
+    texts = [" ".join([*rng.permutation(topics[i % 8]), *rng.choice(["the", "and", "of", "to"], 30)]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, BPE, window=256, shard_ids=1_000).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault(r["sequence_id"], []).append(r["doc_id"] % 8)
+    full = [max(w.count(t) for t in set(w)) / len(w) for w in windows.values() if len(w) > 3]
+    assert np.mean(full) > 0.8
 
 
 @pytest.mark.parametrize("total", [1, 2, 3, 2047])
 def test_rest_is_cut_in_powers_of_two(total):
-    cut = list(packing._cut([(0, 0, total)], total))
+    cut = list(packing._cut([(packing.Doc(0, np.zeros(total)), 0, total)], total))
     assert [sum(p[2] for p in s) for s in cut] == [1 << b for b in reversed(range(11)) if total >> b & 1]
