@@ -3,24 +3,22 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``); one is set only where none is."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``)."""
+    return fresh(spark, label)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -40,11 +38,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Removes the files of a ``stored`` table that no later step reads."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Removes the files of ``stored`` tables that no later step reads."""
+    for df in tables:
+        remove(df.sparkSession, df.stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused_name(taken: list[str], wish: str) -> str:
+    """``wish`` with a number that no column has."""
+    held = {c.lower() for c in taken}
+    return next(n for i in range(len(held) + 1) if (n := f"__{wish}{i}") not in held)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -74,12 +82,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, seen = stored(edges, "edges"), None
     while True:
+        old = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        forget(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -1,8 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts n-grams of one to three characters per label, each task summing its own rows before the shuffle; the
-log-probability matrix (labels x buckets) is broadcast, its size fixed by two parameters. Texts are scored whole, in
-numpy, by gathering matrix rows for all n-grams of a block and summing them per text.
+Training counts n-grams of one to three characters per label, each task summing its own rows before the shuffle. Every
+label is learnt. The log-probability matrix (buckets x labels) is broadcast, ``LABELS`` labels at a time: so many are
+the bound of what is sent, and a corpus of more labels takes a pass over its texts for each such part, whose results
+are joined by the probabilities' sums. Texts are scored whole, in numpy, by gathering matrix rows for all n-grams of a
+block and summing them per text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is everything when no row can be
 learnt from. Ties go to the label that sorts first. Null labels are not learnt. A null ``doc_id`` counts as the empty
@@ -19,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stored, table, unused_name
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Labels in the model, the commonest first: the bound of what is broadcast.
-MAX_LABELS = 256
+#: Labels whose columns are broadcast together, and are counted together by a task: 17 MB.
+LABELS = 64
 ALPHA = 0.5
 #: Characters in one numpy block; a longer text is cut into pieces that overlap by the longest n-gram less one.
 BLOCK = 1 << 18
+#: Matrix cells gathered at once.
+CELLS = 1 << 21
 UND = "und"
+#: What the pipeline keeps: texts that may be in one of these languages, if it learnt any of them, with at least this
+#: probability. A text must be clearly of another language to go.
+WANTED, LEAST = ("en",), 0.1
 
 
 def _fold() -> np.ndarray:
@@ -91,73 +98,153 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for label, total in sums.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([label] * len(some), pa.string()), pa.array(np.where(some == BUCKETS, -1, some)), pa.array(total[some])],
+                    ["label", "bucket", "n"],
+                )
+            sums.clear()
+
         for b in slices(batches):
             by: dict[str, list[str]] = {}
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
                 by.setdefault(label, []).append(text)
             for label, texts in by.items():
+                if label not in sums and len(sums) == LABELS:
+                    yield from out()
                 total = sums.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
                 total[BUCKETS] += len(texts)
                 for points, _, starts, own in blocks(texts):
                     for bucket, valid in grams(points, starts, own):
                         total[:BUCKETS] += np.bincount(bucket[valid], minlength=BUCKETS)
-        for label, total in sums.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([label] * len(some), pa.string()), pa.array(np.where(some == BUCKETS, -1, some)), pa.array(total[some])],
-                ["label", "bucket", "n"],
-            )
+        yield from out()
 
     counted = labelled.select("label", "text").mapInArrow(run, "label string, bucket long, n long")
     return counted.groupBy("label", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Labels in order, and the matrix [bucket, label] of log probabilities with the log priors as its last row.
+#: Labels in order, and the matrix [bucket, label] of log probabilities with the log priors as its last row.
+Part = tuple[list[str], np.ndarray]
 
-    Every labelled row is counted. What reaches the driver has at most labels x buckets rows.
-    """
-    counts = count_grams(labelled)
-    sizes = counts.where("bucket = -1").orderBy(F.desc("n"), "label").limit(MAX_LABELS).toPandas()
-    labels = sorted(sizes["label"])
-    matrix = np.zeros((BUCKETS + 1, len(labels)))
-    if not labels:
-        return labels, matrix
-    kept = counts.where(F.col("label").isin(labels)).toPandas()
-    place = {x: i for i, x in enumerate(labels)}
-    matrix[kept["bucket"].to_numpy(), kept["label"].map(place).to_numpy()] = kept["n"].to_numpy()
-    prior = matrix[-1] / matrix[-1].sum()
-    matrix[:-1] = np.log((matrix[:-1] + ALPHA) / (matrix[:-1].sum(axis=0) + ALPHA * BUCKETS))
-    matrix[-1] = np.log(prior)
-    return labels, matrix
 
+def train(labelled: DataFrame, at_once: int = LABELS) -> list[Part]:
+    """The model in parts of at most ``at_once`` labels, in the order of labels. Every labelled row is counted; a part's
+    counts, at most its labels x buckets rows, reach the driver at a time."""
+    counts = stored(count_grams(labelled), "language-counts")
+    sizes = counts.where("bucket = -1").orderBy("label").select("label", "n").toPandas()
+    labels, texts = sizes["label"].tolist(), sizes["n"].to_numpy(float)
+    parts: list[Part] = []
+    for lo in range(0, len(labels), at_once):
+        own = labels[lo : lo + at_once]
+        held = counts.where(F.col("label").isin(own) & (F.col("bucket") >= 0)).toPandas()
+        matrix = np.zeros((BUCKETS + 1, len(own)))
+        matrix[held["bucket"].to_numpy(np.int64), held["label"].map({x: i for i, x in enumerate(own)}).to_numpy(np.int64)] = held["n"].to_numpy()
+        seen = matrix[:-1].sum(axis=0)
+        matrix[:-1] = np.log((matrix[:-1] + ALPHA) / (seen + ALPHA * BUCKETS))
+        matrix[-1] = np.log(texts[lo : lo + at_once] / texts.sum())
+        parts.append((own, matrix))
+    return parts
 
-def score(texts: list[str], labels: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+
+def log_joint(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """[text, label]: log prior and log probability of all n-grams of the text."""
     total = np.repeat(matrix[-1][None, :], len(texts), axis=0)
+    step = max(1, CELLS // matrix.shape[1])
     for points, owner, starts, own in blocks(texts):
+        whole = np.repeat(owner, np.diff(starts))
         for bucket, valid in grams(points, starts, own):
-            rows = matrix[np.where(valid, bucket, 0)] * valid[:, None]
-            np.add.at(total, owner, np.add.reduceat(rows, starts[:-1], axis=0))
-    best = total.argmax(axis=1) if labels else np.zeros(len(texts), int)
-    lettered = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts)) & bool(labels)
-    shown = np.exp(total - total.max(axis=1, keepdims=True)) if labels else np.zeros((len(texts), 1))
-    p = np.where(lettered, 1.0 / np.maximum(shown.sum(axis=1), 1.0), 0.0)
-    return [labels[i] if ok else UND for i, ok in zip(best, lettered, strict=True)], p
-
-
-def predicted(text: Column, model: tuple[list[str], np.ndarray], spark) -> Column:
-    """struct<lang_pred, score> for a text column."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for lo in range(0, len(bucket), step):
+                some = slice(lo, lo + step)
+                rows = matrix[np.where(valid[some], bucket[some], 0)] * valid[some, None]
+                turns = np.flatnonzero(np.diff(whole[some], prepend=-1))
+                np.add.at(total, whole[some][turns], np.add.reduceat(rows, turns, axis=0))
+    return total
+
+
+def _lettered(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in parts:
+            yield some.map(lambda t: any(map(str.isalpha, t))).astype(bool)
+
+    return run(text)
+
+
+STATE = "best double, label string, every double, wanted double"
+
+
+def _joined(state: pd.DataFrame | None, labels: list[str], joint: np.ndarray, wanted: frozenset[str]) -> pd.DataFrame:
+    """The best label and log sums over all labels and the wanted ones, of this part and those before it."""
+    if state is None:
+        low = np.full(len(joint), -np.inf)
+        state = pd.DataFrame({"best": low, "label": None, "every": low, "wanted": low})
+    at = joint.argmax(axis=1)
+    top = joint[np.arange(len(joint)), at]
+    better = top > state["best"].to_numpy(float)
+    mine = np.array([x in wanted for x in labels])
+    over = lambda x: np.logaddexp.reduce(x, axis=1) if x.shape[1] else np.full(len(x), -np.inf)
+    return pd.DataFrame(
+        {
+            "best": np.where(better, top, state["best"].to_numpy(float)),
+            "label": np.where(better, np.array(labels, object)[at], state["label"].to_numpy(object)),
+            "every": np.logaddexp(state["every"].to_numpy(float), over(joint)),
+            "wanted": np.logaddexp(state["wanted"].to_numpy(float), over(joint[:, mine])),
+        }
+    )
+
+
+def _part_scores(spark, part: Part, wanted: frozenset[str], first: bool):
+    shared = spark.sparkContext.broadcast(part)
+
+    def of(text: pd.Series, state: pd.DataFrame | None) -> pd.DataFrame:
         labels, matrix = shared.value
-        for s in parts:
-            said = [score(s.iloc[lo : lo + 512].tolist(), labels, matrix) for lo in range(0, len(s), 512)]
-            found, p = [x for f, _ in said for x in f], np.concatenate([q for _, q in said] or [np.zeros(0)])
-            yield pd.DataFrame({"lang_pred": pd.Series(found, dtype=object), "score": p})
-
-    return run(F.coalesce(text, F.lit("")))
+        found = []
+        for lo in range(0, len(text), 512):
+            own = slice(lo, lo + 512)
+            found.append(_joined(None if state is None else state.iloc[own], labels, log_joint(text.iloc[own].tolist(), matrix), wanted))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"best": [], "label": [], "every": [], "wanted": []})
+
+    if first:
+
+        @F.pandas_udf(STATE)
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for text in parts:
+                yield of(text, None)
+    else:
+
+        @F.pandas_udf(STATE)
+        def run(parts: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+            for text, state in parts:
+                yield of(text, state)
+
+    return run
+
+
+def with_language(docs: DataFrame, model: list[Part], into: str, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` and a struct column ``into``: lang_pred, score (its probability) and wanted (that of the wanted labels
+    together, 1 where no such label is in the model; both 0 for a text without a letter)."""
+    spark, text = docs.sparkSession, F.coalesce(F.col("text"), F.lit(""))
+    named = frozenset(wanted)
+    known = any(x in named for labels, _ in model for x in labels)
+    state = unused_name([*docs.columns, into], "state")
+    for i, part in enumerate(model):
+        run = _part_scores(spark, part, named, not i)
+        docs = docs.withColumn(state, run(text) if not i else run(text, F.col(state)))
+        docs = stored(docs, "language-part") if i + 1 < len(model) else docs
+    lettered = _lettered(text)
+    if not model:
+        found = F.struct(F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), lettered.cast("double").alias("wanted"))
+        return docs.withColumn(into, found)
+    share = lambda c: F.least(F.exp(F.col(state)[c] - F.col(state)["every"]), F.lit(1.0))
+    found = F.struct(
+        F.when(lettered, F.col(state)["label"]).otherwise(UND).alias("lang_pred"),
+        F.when(lettered, share("best")).otherwise(0.0).alias("score"),
+        F.when(lettered, share("wanted") if known else F.lit(1.0)).otherwise(0.0).alias("wanted"),
+    )
+    return docs.withColumn(into, found).drop(state)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -169,14 +256,16 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language, with their columns as they were."""
-    model = train(training_rows(docs))
-    return docs.where(predicted(F.col("text"), model, docs.sparkSession)["lang_pred"] != UND)
+def identified(docs: DataFrame, wanted: tuple[str, ...] = WANTED, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose text is in a wanted language with probability ``least`` or more, with their columns as
+    they were. Texts without a letter go. Where the model knows no wanted language (nothing is labelled, say), all others
+    stay, as there is nothing to reject them by."""
+    into = unused_name(docs.columns, "language")
+    said = with_language(docs, train(training_rows(docs)), into, wanted)
+    return said.where((F.col(into)["wanted"] >= least) & (F.col(into)["wanted"] > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(training_rows(docs))
-    said = docs.select("doc_id", held_out().alias("held_out"), predicted(F.col("text"), model, spark).alias("p"))
-    return said.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    said = with_language(docs, train(training_rows(docs)), "p")
+    return said.select("doc_id", held_out().alias("held_out"), "p.lang_pred", "p.score")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import fnmatch
 import hashlib
+import math
 import re
 import zlib
 
@@ -155,10 +157,14 @@ def test_redaction_hides_secrets_only(spark):
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language_id.train(language_id.training_rows(docs))
-    out = docs.select("lang", language_id.held_out().alias("held"), language_id.predicted(F.col("text"), model, spark).alias("p"))
+    out = language_id.with_language(docs, model, "p", ("en",)).withColumn("held", language_id.held_out())
     rows = [r for r in out.collect() if r["held"]]
     assert len(rows) > 150 and np.mean([r["p"]["lang_pred"] == r["lang"] for r in rows]) > 0.98
     assert all(0 <= r["p"]["score"] <= 1 for r in rows)
+    kept = [r["lang"] == "en" for r in rows if r["p"]["wanted"] >= language_id.LEAST]
+    recall, precision = sum(kept) / sum(r["lang"] == "en" for r in rows), np.mean(kept)
+    print("held out: English kept", recall, "of the kept English", precision)
+    assert recall >= 0.99 and precision >= 0.97
 
 
 def test_counts_equal_a_plain_count(spark):
@@ -168,24 +174,98 @@ def test_counts_equal_a_plain_count(spark):
     assert sum(n for (x, b), n in got.items() if x == "a" and b >= 0) == 6 + 5 + 4
 
 
+def plain_buckets(text):
+    """Buckets of the n-grams of one to three characters, one at a time."""
+    points = [ord(c) if ord(c) >= 128 or c.isalpha() else 32 for c in text.lower()]
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            state = 0
+            for j in range(n):
+                state = (state * 0x100000001B3 % (1 << 64)) ^ (points[i + j] + j + 1)
+            yield (state * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - language_id.BUCKETS.bit_length() + 1)
+
+
+def plain_bayes(rows, texts):
+    """(label, probability) by multinomial naive Bayes with dictionaries."""
+    counts, priors = {}, collections.Counter(x for x, _ in rows)
+    for label, text in rows:
+        counts.setdefault(label, collections.Counter()).update(plain_buckets(text))
+    for text in texts:
+        asked = list(plain_buckets(text))
+        joint = {}
+        for label in sorted(priors):
+            seen = sum(counts[label].values()) + language_id.ALPHA * language_id.BUCKETS
+            joint[label] = math.log(priors[label] / len(rows)) + sum(math.log((counts[label][b] + language_id.ALPHA) / seen) for b in asked)
+        best = max(joint, key=joint.get)
+        yield best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())
+
+
+@pytest.mark.parametrize("at_once", [64, 2])
+def test_scores_equal_plain_naive_bayes(spark, at_once):
+    rng = np.random.default_rng(2)
+    word = {x: ["".join(rng.choice(list(a), rng.integers(1, 7))) for _ in range(40)] for x, a in (("aa", "abcde"), ("bb", "cdefg é"), ("cc", "fghijk"), ("dd", "漢字かな"), ("ee", "abcdf"))}
+    rows = [(x, " ".join(rng.choice(w, 12))) for x, w in word.items() for _ in range(6)]
+    texts = [" ".join(rng.choice(word[x], n)) for x in word for n in (1, 2, 30)] + ["zz", "Ab 1"]
+    labelled = spark.createDataFrame(rows, "label string, text string")
+    model = language_id.train(labelled, at_once)
+    assert [x for labels, _ in model for x in labels] == sorted(word) and max(len(x) for x, _ in model) <= at_once
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["p"] for r in language_id.with_language(docs, model, "p").collect()}
+    for i, (label, p) in enumerate(plain_bayes(rows, texts)):
+        assert (got[i]["lang_pred"], round(got[i]["score"], 9)) == (label, round(p, 9))
+
+
+def test_every_label_is_learnt(spark):
+    rows = [(i, f"{'é' if i % 2 else 'q'} word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 4, f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = docs.select(F.col("lang").alias("label"), "text")
+    model = language_id.train(labelled)
+    assert [x for labels, _ in model for x in labels] == [r[2] for r in rows]
+    got = {r["doc_id"]: r["p"]["lang_pred"] for r in language_id.with_language(docs, model, "p").collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.9
+
+
+def test_ties_go_to_the_first_label(spark):
+    labelled = spark.createDataFrame([("b", "same text"), ("a", "same text")], "label string, text string")
+    docs = spark.createDataFrame([(1, "same"), (2, "same")], "doc_id long, text string")
+    for at_once in (64, 1):
+        rows = language_id.with_language(docs, language_id.train(labelled, at_once), "p").collect()
+        assert [(r["p"]["lang_pred"], round(r["p"]["score"], 9)) for r in rows] == [("a", 0.5)] * 2
+
+
 def test_long_text_scores_like_its_parts():
-    labels, matrix = ["x", "y"], np.random.default_rng(0).normal(size=(language_id.BUCKETS + 1, 2))
+    matrix = np.random.default_rng(0).normal(size=(language_id.BUCKETS + 1, 2))
     text = "abcd efg" * 70_000
-    whole = language_id.score([text], labels, matrix)
     direct = matrix[-1].copy()
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
+    points[points == 32] = 32
     for bucket, valid in language_id.grams(points, np.array([0, len(points)]), np.array([len(points)])):
         direct += matrix[bucket[valid]].sum(axis=0)
-    assert whole[0] == [labels[int(direct.argmax())]]
+    got = language_id.log_joint(["short", text, ""], matrix)
+    assert np.allclose(got[1], direct) and np.allclose(got[2], matrix[-1])
 
 
 def test_language_edges(spark):
     docs, rows = odd_docs(spark)
-    kept = {r["doc_id"] for r in language_id.identified(docs.withColumn("lang_pred", F.lit("q"))).collect()}
-    assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    lettered = {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    kept = [r["doc_id"] for r in language_id.identified(docs.withColumns({"lang_pred": F.lit("q"), "state": F.lit(1)})).collect()]
+    assert set(kept) == lettered and len(kept) == sum(r[0] in lettered for r in rows)
     assert language_id.identified(empty(spark)).count() == 0
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
-    assert language_id.identified(bare).count() == 0
+    assert {r["doc_id"] for r in language_id.identified(bare).collect()} == lettered
+    said = language_id.with_language(bare, [], "p").collect()
+    assert {(r["p"]["lang_pred"], r["p"]["score"]) for r in said} == {("und", 0.0)}
+
+
+def test_the_stage_rejects_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    kept = language_id.identified(docs)
+    assert kept.columns == docs.columns
+    n = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    left = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert left["en"] >= 0.97 * n["en"] and sum(v for k, v in left.items() if k != "en") <= 0.1 * sum(v for k, v in n.items() if k != "en")
+    german = language_id.identified(docs, ("de",))
+    assert german.where("lang = 'de'").count() >= 0.9 * n["de"]
 
 
 # Packing ------------------------------------------------------------------------------------------
