@@ -54,7 +54,7 @@ def _slow(path: str):
 
 @functools.cache
 def encoder(path: str):
-    """text -> ids, as ``tokenizers`` gives them. A plain byte-level BPE runs in the faster library, same vocabulary; a
+    """text -> array of ids, as ``tokenizers`` gives them. A plain byte-level BPE runs in the faster library, same vocabulary; a
     text that its regular expressions give up on (a run of some hundred thousand blanks) goes to the slower one."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -66,7 +66,7 @@ def encoder(path: str):
     ordered = all(a < b for a, b in zip([-1, *made], made, strict=False))
     simple = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
     if not (plain and ordered and simple):
-        return lambda text: _slow(path).encode(text, add_special_tokens=False).ids
+        return lambda text: np.array(_slow(path).encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,11 +76,11 @@ def encoder(path: str):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> list[int]:
+    def encode(text: str) -> np.ndarray:
         try:
-            return fast.encode(text, allowed_special="all", disallowed_special=())
+            return fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         except ValueError:
-            return _slow(path).encode(text, add_special_tokens=False).ids
+            return np.array(_slow(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 
@@ -93,7 +93,7 @@ class Corpus:
     mean: float
     df: np.ndarray
 
-    @property
+    @functools.cached_property
     def idf(self) -> np.ndarray:
         return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
 
@@ -208,21 +208,30 @@ def _cut(pieces: list[Piece], total: int) -> Iterator[list[Piece]]:
         yield held
 
 
-def _encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids, place): a document's ids with the end id, as little-endian 32-bit numbers, and a number of its row.
+@functools.cache
+def width(path: str) -> str:
+    """The narrowest number that holds every id of the vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([END_ID, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def _encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """(doc_id, ids, place): a document's ids with the end id, as numbers of the given kind, and a number of its row.
     It is written, so a task that runs again finds the same numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for b in slices(batches):
-            ids = [np.array([*encode(t), END_ID], "<u4").tobytes() for t in b.column("text").to_pylist()]
+            ids = [np.append(encode(t), np.uint32(END_ID)).astype(kind).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary").withColumn("place", F.monotonically_increasing_id())
 
 
-def _corpus(encoded: DataFrame) -> Corpus:
+def _corpus(encoded: DataFrame, kind: str) -> Corpus:
     """What reaches the driver has a row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,12 +239,15 @@ def _corpus(encoded: DataFrame) -> Corpus:
         n = total = 0
         for b in batches:
             for raw in b.column("ids").to_pylist():
-                ids = np.unique(np.frombuffer(raw, "<u4")[:-1])
-                if len(ids) and ids[-1] >= len(df):
+                ids = np.frombuffer(raw, kind)[:-1]
+                n += 1
+                total += len(ids)
+                if not len(ids):
+                    continue
+                ids = np.unique(ids)
+                if ids[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
                 df[ids] += 1
-                n += 1
-                total += len(raw) // 4 - 1
         some = np.flatnonzero(df)
         terms, counts = np.append(some, [-1, -2]), np.append(df[some], [n, total])
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
@@ -259,14 +271,14 @@ def name(ids: np.ndarray, corpus: Corpus) -> bytes:
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece (``PIECES``). ``sequence_id`` holds the task's number in its upper 32 bits."""
-    spark = docs.sparkSession
-    encoded = stored(_encoded(docs, tokenizer), "packing-ids")
-    shared = spark.sparkContext.broadcast(_corpus(encoded))
+    spark, kind = docs.sparkSession, width(tokenizer)
+    encoded = stored(_encoded(docs, tokenizer, kind), "packing-ids")
+    shared = spark.sparkContext.broadcast(_corpus(encoded, kind))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = shared.value
         for b in slices(batches):
-            names = [name(np.frombuffer(raw, "<u4")[:-1], corpus) for raw in b.column("ids").to_pylist()]
+            names = [name(np.frombuffer(raw, kind)[:-1], corpus) for raw in b.column("ids").to_pylist()]
             yield b.append_column("name", pa.array(names, pa.binary()))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int =
             for sequence in sequences:
                 offset = 0
                 for doc, start, length in sequence:
-                    crc = zlib.crc32(doc.ids[start : start + length].tobytes())
+                    crc = zlib.crc32(doc.ids[start : start + length].astype("<u4").tobytes())
                     for column, value in zip(out, (doc.doc_id, start, length, crc, len(doc.ids), number, offset), strict=True):
                         column.append(value)
                     offset += length
@@ -289,7 +301,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int =
 
         for b in slices(batches):
             for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                held.append(Doc(doc_id, np.frombuffer(raw, "<u4")))
+                held.append(Doc(doc_id, np.frombuffer(raw, kind)))
                 size += len(held[-1].ids)
                 if size >= shard_ids:
                     yield from written(packer.add(held))
