@@ -10,8 +10,11 @@ value and stops at the minimum length: what is then unset, repeats.
 Bytes that no other segment of the hash shares, counted from the anchor to either side, lie in no repeated window and
 are left out of the shard's text.
 
-A hash with more than ``GROUP`` segments does not fit one shard: its windows are counted one by one, by digest, with
-partial sums before the shuffle. That is exact too, and no group is gathered.
+A hash with more than ``GROUP`` different segments does not fit one shard. Its windows are taken apart by how far they
+reach to the left of the anchor, in steps of ``STEPS`` bytes: all windows of a step have a middle part in common, so
+equal ones have equal middles, and the segments' clips are dealt by the digest of their middle. Clips of one middle are
+again settled by equality or go to a shard; those still too many are taken apart by the next, finer step, down to the
+window itself, whose clips are all equal. No group is gathered, and all that is not equal outright meets the transform.
 
 Defined results: null text counts as empty and nothing is removed from it; texts shorter than the minimum are kept;
 equal rows are different documents and lose each other's strings; an empty table gives an empty result; other columns
@@ -29,17 +32,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored, table
+from .common import forget, slices, stored, table
 
 LENGTH = 200
 KMER = 32
-#: Segments of one anchor hash that a shard takes at most.
-GROUP = 8192
+#: Different segments of one anchor hash that a shard takes at most.
+GROUP = 4096
+#: Widths of the steps in which larger groups are taken apart. The last one leaves one window a clip.
+STEPS = (24, 4, 1)
 #: Bytes of a shard's text, about.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 #: Bytes in no UTF-8 text: between segments, and at a shard's end.
 BETWEEN, END = 0xFF, 0xFE
 
+#: Texts handled together.
+ROWS = 256
 ANCHORS = "h long, sd long, k1 long, k2 long, span long"
 
 
@@ -84,18 +91,16 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     window (10 bits each for the last two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, len(b), 512):
-                part = b.slice(lo, 512)
-                out: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k1, k2, t in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
-                    raw = t.encode()
-                    h, place, first, n = anchors(np.frombuffer(raw, np.uint8), length)
-                    ends = first + n + length - 1
-                    sd = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
-                    for column, x in zip(out, (_signed(h), _signed(np.array(sd, np.uint64)), np.full(len(h), k1), np.full(len(h), k2), first << 20 | n << 10 | place - first), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h", "sd", "k1", "k2", "span"])
+        for part in slices(batches, ROWS):
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for k1, k2, t in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
+                raw = t.encode()
+                h, place, first, n = anchors(np.frombuffer(raw, np.uint8), length)
+                ends = first + n + length - 1
+                sd = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+                for column, x in zip(out, (_signed(h), _signed(np.array(sd, np.uint64)), np.full(len(h), k1), np.full(len(h), k2), first << 20 | n << 10 | place - first), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["h", "sd", "k1", "k2", "span"])
 
     return docs.select("k1", "k2", "text").mapInArrow(run, ANCHORS)
 
@@ -103,30 +108,31 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Start of each suffix in order, by prefix doubling; the text ends with a byte that occurs nowhere else."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for i in range(8):
-        key = key << np.uint64(8) | padded[i : i + n]
-    order = np.argsort(key)
-    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-    rank = np.empty(n, np.int64)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = head
+        key <<= np.uint64(8)
+        key[: n - i] |= text[i:]
+    order = np.argsort(key).astype(np.int32)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    del key
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     reach = 8
     while True:
-        open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
         if not len(open_):
             return order
         at = order[open_]
         after = at + reach
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        both = rank[at] << 32 | second
+        both = rank[at].astype(np.int64) << 32 | second
         by = np.argsort(both)
         at, both = at[by], both[by]
         order[open_] = at
         fresh = np.concatenate([[True], both[1:] != both[:-1]])
         new[open_] = fresh
-        rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at), dtype=np.int32), 0))]
         reach *= 2
 
 
@@ -140,14 +146,14 @@ def repeated(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     order = suffix_order(text)
     n = len(text)
     bwt = text[order - 1]
-    by_byte = np.argsort(bwt, kind="stable")
-    step = np.empty(n, np.int64)
-    step[by_byte] = np.arange(n)
+    by_byte = np.argsort(bwt, kind="stable").astype(np.int32)
+    step = np.empty(n, np.int32)
+    step[by_byte] = np.arange(n, dtype=np.int32)
     column = bwt[by_byte]
     turn = np.concatenate([[True], column[1:] != column[:-1], [True]])
     edge = np.zeros(n + 1, bool)
     edge[[0, n]] = True
-    owner = np.full(n + 2, -1, np.int64)
+    owner = np.full(n + 2, -1, np.int32)
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
         size = high - low
@@ -239,52 +245,83 @@ def _shards(segments: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "h long, sd long, mask binary")
 
 
-def _windows(segments: DataFrame, length: int) -> DataFrame:
-    """The same for hashes with many segments: each window is counted by its digest."""
+CLIPS = "h long, sd long, segment binary, place int, h0 long, sd0 long, first int, windows int"
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, sd, s in zip(*(b.column(c).to_pylist() for c in ("h", "sd", "segment")), strict=True):
-                n = len(s) - length + 1
-                digests = [xxhash.xxh3_128_digest(s[i : i + length]) for i in range(n)]
-                columns = [pa.array(digests, pa.binary()), pa.array([h] * n, pa.int64()), pa.array([sd] * n, pa.int64()), pa.array(range(n), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["w", "h", "sd", "at"])
 
-    single = segments.select("h", "sd", "segment").mapInArrow(cut, "w binary, h long, sd long, at int")
-    often = single.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    hit = single.join(often, "w", "left_semi").groupBy("h", "sd").agg(F.collect_list("at").alias("at"))
+def _clips(segments: DataFrame, width: int, length: int) -> DataFrame:
+    """Segments taken apart: those windows that reach from ``at`` up to ``at + width`` bytes to the left of the anchor
+    are a clip. ``h`` is the digest of the bytes that all of them have, ``first`` the clip's first window."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, ROWS):
+            out: list[list] = [[] for _ in range(8)]
+            for h0, sd0, s, place in zip(*(b.column(c).to_pylist() for c in ("h", "sd", "segment", "place")), strict=True):
+                most = len(s) - length
+                for at in range(0, length - KMER + 1, width):
+                    first, last = max(0, place - at - width + 1), min(most, place - at)
+                    if first > last:
+                        continue
+                    # The middle of the whole step, also where this segment holds only some of its windows.
+                    middle = s[max(0, place - at) : place - at - width + 1 + length]
+                    clip = s[first : last + length]
+                    row = (xxhash.xxh3_64_intdigest(middle, at + 1), xxhash.xxh3_64_intdigest(clip), clip, place - first, h0, sd0, first, last - first + 1)
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            columns = [pa.array(np.array(out[i], np.uint64).view(np.int64)) for i in (0, 1)]
+            types = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            columns += [pa.array(c, t) for c, t in zip(out[2:], types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CLIPS.split(", ")])
+
+    return segments.select("h", "sd", "segment", "place").mapInArrow(run, CLIPS)
+
+
+def _solved(segments: DataFrame, length: int, group: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """(h, sd, segment, place), one row per content -> (h, sd, mask) as ``_shards`` gives it, for groups of any size."""
+    sizes = stored(segments.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
+    found = _shards(segments.join(sizes.where(F.col("m") <= group), "h"), length)
+    large = sizes.where(F.col("m") > group)
+    if not steps or large.isEmpty():
+        return found
+    clips = stored(_clips(segments.join(large.select("h"), "h"), steps[0], length), "suffix-clips")
+    one = [F.any_value(c).alias(c) for c in ("segment", "place")]
+    contents = stored(clips.groupBy("h", "sd").agg(F.count("*").alias("n"), *one), "suffix-clip-contents")
+    inner = _solved(contents.select("h", "sd", "segment", "place"), length, group, steps[1:])
+    masks = contents.select("h", "sd", "n").join(inner, ["h", "sd"], "left").where("n > 1 OR mask IS NOT NULL")
+    # A clip that occurs twice repeats whole: its mask is null.
+    masks = stored(masks.select("h", "sd", F.when(F.col("n") == 1, F.col("mask")).alias("mask")), "suffix-clip-masks")
+    hit = clips.select("h", "sd", "h0", "sd0", "first", "windows").join(masks, ["h", "sd"])
+    lists = hit.groupBy("h0", "sd0").agg(F.collect_list(F.struct("first", "windows", "mask")).alias("parts"))
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, ROWS):
             masks = []
-            for at in b.column("at").to_pylist():
-                flags = np.zeros(max(at) + 1, bool)
-                flags[at] = True
+            for parts in b.column("parts").to_pylist():
+                flags = np.zeros(max(p["first"] + p["windows"] for p in parts), bool)
+                for p in parts:
+                    own = np.ones(p["windows"], np.uint8) if p["mask"] is None else np.unpackbits(np.frombuffer(p["mask"], np.uint8))[: p["windows"]]
+                    flags[p["first"] : p["first"] + len(own)] |= own.astype(bool)
                 masks.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("sd"), pa.array(masks, pa.binary())], ["h", "sd", "mask"])
+            yield pa.RecordBatch.from_arrays([b.column("h0"), b.column("sd0"), pa.array(masks, pa.binary())], ["h", "sd", "mask"])
 
-    return hit.mapInArrow(pack, "h long, sd long, mask binary")
+    return found.unionByName(lists.mapInArrow(united, "h long, sd long, mask binary"))
 
 
 def _segments(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted anchors (k1, k2, h, sd, span, kind)."""
+    """Bytes of the wanted anchors (k1, k2, h, sd, span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, rows in zip(b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                raw = text.encode()
-                for r in rows:
-                    first, n, place = r["span"] >> 20, r["span"] >> 10 & 1023, r["span"] & 1023
-                    segment = raw[first : first + n + length - 1]
-                    for column, x in zip(out, (r["h"], r["sd"], r["kind"], segment, place), strict=True):
-                        column.append(x)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32())
-            names = ["h", "sd", "kind", "segment", "place"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+        for b in slices(batches, ROWS):
+            rows = b.column("rows")
+            flat, sizes = rows.flatten(), rows.value_lengths().to_numpy()
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            span = flat.field("span").to_numpy()
+            first, n = span >> 20, span >> 10 & 1023
+            ends = zip(np.repeat(np.arange(len(texts)), sizes).tolist(), first.tolist(), (first + n + length - 1).tolist(), strict=True)
+            segments = pa.array([texts[i][lo:hi] for i, lo, hi in ends], pa.binary())
+            yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("sd"), segments, pa.array(span & 1023, pa.int32())], ["h", "sd", "segment", "place"])
 
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "sd", "span", "kind")).alias("rows"))
-    return keyed.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "rows").mapInArrow(run, "h long, sd long, kind string, segment binary, place int")
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "sd", "span")).alias("rows"))
+    return keyed.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("text", "rows").mapInArrow(run, "h long, sd long, segment binary, place int")
 
 
 def kept(raw: bytes, spans: np.ndarray, masks: list[bytes | None], length: int = LENGTH) -> tuple[bytes, int]:
@@ -307,17 +344,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     number = F.coalesce(F.expr("try_cast(doc_id AS bigint)"), F.lit(-1).cast("long"))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("k1"), number.alias("k2"))
     every = stored(_anchored(keyed, length), "suffix-windows")
-    kind = F.when(F.col("low") == F.col("high"), "equal").when(F.col("n") > group, "large").otherwise("mixed")
+    kind = F.when(F.col("low") == F.col("high"), "equal").otherwise("mixed")
     hashes = every.groupBy("h").agg(F.count("*").alias("n"), F.min("sd").alias("low"), F.max("sd").alias("high")).where("n > 1")
     # Written, so that the join has an exchange on both sides and Spark can split a hash with very many anchors.
     hashes = stored(hashes.select("h", kind.alias("kind")), "suffix-hashes")
     marks = stored(every.join(hashes, "h"), "suffix-anchors")
-    forget(every)
+    forget(every, hashes)
     rep = F.min(F.struct("k1", "k2", "span")).alias("r")
-    differ = marks.where("kind <> 'equal'").groupBy("h", "sd", "kind").agg(F.count("*").alias("n"), rep)
-    differ = stored(differ.select("h", "sd", "kind", "n", "r.*"), "suffix-contents")
-    parts = stored(_segments(keyed, differ, length), "suffix-segments")
-    found = _shards(parts.where("kind = 'mixed'"), length).unionByName(_windows(parts.where("kind = 'large'"), length))
+    differ = marks.where("kind <> 'equal'").groupBy("h", "sd").agg(F.count("*").alias("n"), rep)
+    differ = stored(differ.select("h", "sd", "n", "r.*"), "suffix-contents")
+    found = _solved(stored(_segments(keyed, differ, length), "suffix-segments"), length, group)
     # A content that occurs twice repeats whole, whatever the rest of its hash holds.
     masks = differ.select("h", "sd", "n").join(found, ["h", "sd"], "left").where("n > 1 OR mask IS NOT NULL")
     masks = stored(masks.select("h", "sd", F.when(F.col("n") == 1, F.col("mask")).alias("mask")), "suffix-masks")
@@ -326,14 +362,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     by_doc = equal.unionByName(rest).groupBy("k1", "k2").agg(F.collect_list(F.struct("span", "mask")).alias("marks"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, marks = [], b.column("marks")
-            ends = marks.offsets.to_pylist()
-            flat = marks.values
-            spans, masks = flat.field("span").to_numpy(zero_copy_only=False), flat.field("mask").to_pylist()
-            for t, lo, hi in zip(b.column("text").to_pylist(), ends, ends[1:], strict=False):
+        for b in slices(batches, ROWS):
+            marks = b.column("marks")
+            flat, sizes = marks.flatten(), marks.value_lengths().fill_null(0).to_numpy()
+            spans, masks, out, lo = flat.field("span").to_numpy(), flat.field("mask").to_pylist(), [], 0
+            for t, n in zip(b.column("text").to_pylist(), sizes.tolist(), strict=True):
                 raw = t.encode()
-                out.append((len(raw), *(kept(raw, spans[lo:hi], masks[lo:hi], length) if hi > lo else (raw, 0))))
+                out.append((len(raw), *(kept(raw, spans[lo : lo + n], masks[lo : lo + n], length) if n else (raw, 0))))
+                lo += n
             types = (pa.int64(), pa.binary(), pa.int64())
             columns = [pa.array([o[i] for o in out], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), columns[0], columns[2], columns[1]], ["doc_id", "n_bytes", "n_spans", "kept"])
