@@ -7,6 +7,7 @@ import fnmatch
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -144,11 +145,92 @@ def test_secret_spans_at_random(spark, texts):
     assert got == {i: hashlib.sha256(written(base_spans(t)).encode()).hexdigest() for i, t in enumerate(texts)}
 
 
+WEAK = {
+    "identifier": re.compile(r"""(?:client_?id|user_?name|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.I | re.A),
+    "opaque": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}"),
+    "endpoint": re.compile(r"""\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+""", re.I | re.A),
+}
+
+
+def is_opaque(hit):
+    """A digit before anything odd, and a capital."""
+    return re.match(r"[A-Za-z+/_-]*[0-9]", hit) and re.match(r"[0-9a-z+/_-]*[A-Z]", hit)
+
+
+def all_spans(text):
+    """Scopes one by one, every pair within them."""
+    base = base_spans(text)
+    weak = []
+    for kind, pattern in WEAK.items():
+        for m in pattern.finditer(text):
+            if (kind != "opaque" or is_opaque(m[0])) and not any(a < m.end() and b > m.start() for a, _, b in base):
+                weak.append((m.start(), secret_scan.PLACE[kind], m.end(), bool(re.match(secret_scan.USER_AND_PASSWORD, m[0]))))
+    cuts = [m.start() for m in re.finditer(r"(?:\r\n|\r(?!\n)|(?<!\r)\n)[ \t]*(?:\r\n|\r|\n)", text)]
+    scope = lambda at: sum(c < at for c in cuts)
+    held = [(scope(s[0]), secret_scan.KINDS[s[1]]) for s in [*base, *weak]]
+    out = list(base)
+    for at, kind, stop, whole in weak:
+        mates = {k for c, k in held if c == scope(at)}
+        who, secret = mates & set(secret_scan.WHO), mates & set(secret_scan.SECRET)
+        if {"identifier": secret, "opaque": who, "endpoint": whole or (who and secret)}[secret_scan.KINDS[kind]]:
+            out.append((at, kind, stop))
+    return sorted(out)
+
+
+PARTS = ["AKIA" + "Q7" * 9, "user_name=joe", "accountid: a.b", "Zx9" * 12, "https://db.example.org/x", "postgres://joe:pw@db/y", "token=abcdefgh", "0af9" * 8, "words in between", "é😀"]
+GAPS = [" ", "\n", "\r\n", "\n\n", "\r\n\r\n", "\n \t\n", "\r\r", "x" * 300, " far " * 200]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(PARTS), st.sampled_from(GAPS)), max_size=14), min_size=20, max_size=20))
+def test_links_equal_brute_force(spark, made):
+    texts = ["".join(a + b for a, b in pairs) for pairs in made]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == written(all_spans(t)), t
+
+
+def test_links_of_very_many_spans(spark):
+    rng = np.random.default_rng(3)
+    text = "".join(PARTS[i] + GAPS[j] for i, j in zip(rng.integers(9, size=3000), rng.choice([0, 1, 2, 3, 4], 3000, p=[0.4, 0.4, 0.1, 0.05, 0.05]), strict=True))
+    long = (PARTS[1] + " " + PARTS[6] + "\n") * 20_000
+    began = time.perf_counter()
+    rows = secret_scan.scan(spark.createDataFrame([(1, text), (2, long)], "doc_id long, text string").repartition(1)).orderBy("doc_id").collect()
+    assert rows[0]["spans"] == written(all_spans(text)) and rows[1]["spans"].count(",") == 39_999
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 5000])
+def test_running_values(spark, n):
+    values = np.random.default_rng(n).integers(0, 1000, n)
+    frame = spark.createDataFrame([(values.tolist(),)], "v array<int>")
+    got = frame.select(secret_scan._running_sum(F.col("v")), secret_scan._running_max(F.col("v")), secret_scan._coming_min(F.col("v"))).first()
+    want = (np.cumsum(values), np.maximum.accumulate(values), np.minimum.accumulate(values[::-1])[::-1]) if n else ([], [], [])
+    assert [list(g) for g in got] == [list(w) for w in want]
+
+
+def test_no_python_in_the_plan(spark):
+    docs, _ = odd_docs(spark)
+    for frame in (secret_scan.scan(docs), secret_scan.redacted(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
 def test_redaction_hides_secrets_only(spark):
     docs, _ = odd_docs(spark)
     assert sorted(map(str, secret_scan.redacted(docs).collect())) == sorted(map(str, docs.collect()))
-    one = spark.createDataFrame([(1, "é token=abcdefgh0123 b " + "0af9" * 8 + " c", 5)], "doc_id long, text string, __base0 int")
-    assert secret_scan.redacted(one).first().asDict() == {"doc_id": 1, "text": "é [REDACTED] b [REDACTED] c", "__base0": 5}
+    texts = {
+        "é token=abcdefgh0123 b " + "0af9" * 8 + " c": "é [REDACTED] b [REDACTED] c",
+        "secret='0af90af90af90af90af90af90af90af9' x": "[REDACTED]' x",
+        "db postgres://joe:hunter2pw@db.example.org/x end": "db [REDACTED] end",
+        "username=joe token=abcdefgh at https://db.example.org/x": "username=joe [REDACTED] at [REDACTED]",
+        "see https://example.org/page": "see https://example.org/page",
+        "é" * 5000 + " token=abcdefgh " + "漢" * 9000 + " token=abcdefgh token=abcdefgh": "é" * 5000 + " [REDACTED] " + "漢" * 9000 + " [REDACTED] [REDACTED]",
+        "token=abcdefgh" + " " * (2048 - 14) + "token=abcdefgh" + "x" * (2048 - 14) + "!": "[REDACTED]" + " " * (2048 - 14) + "[REDACTED]!",
+    }
+    frame = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, __base0 int")
+    got = secret_scan.redacted(frame).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == list(texts.values()) and got[0]["__base0"] == 5
 
 
 # Languages ----------------------------------------------------------------------------------------
