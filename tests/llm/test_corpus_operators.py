@@ -164,12 +164,62 @@ def test_neighbours_reach_recall(spark):
     assert [x[1] for x in got[asked]] == [x[1] for x in want[asked]]
 
 
+def test_candidate_share_and_recall(spark):
+    """On vectors that are nearly uniform on a sphere, which is the hardest case."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    vecs = np.array(rows["embedding"].tolist(), float)
+    hashes = neighbours.fitted(vecs, float(np.linalg.norm(vecs, axis=1).max()), len(vecs), 20)
+    asked = np.flatnonzero(rows["vec_id"] % 20 == 0)
+    score = vecs[asked] @ vecs.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    hit, _ = hashes.visits(vecs[asked], vecs)
+    recall = np.take_along_axis(hit, np.argpartition(-score, 20, axis=1)[:, :20], axis=1).mean()
+    print("candidate share", hit.mean(), "recall", recall)
+    assert hit.mean() < 0.3 and recall >= 0.9
+
+
+def test_groups_are_visited_likeliest_first():
+    rng = np.random.default_rng(6)
+    for bits in range(7):
+        costs = rng.random(bits)
+        every = sorted(range(1 << bits), key=lambda m: sum(c for i, c in enumerate(costs) if m >> i & 1))
+        for wanted in (1, 3, 1 << bits):
+            assert neighbours._cheapest(costs, wanted).tolist() == every[:wanted]
+
+
+def test_neighbours_over_many_groups(spark, monkeypatch):
+    """Groups, parts and tables as a large table has them."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24)) * 2
+    vecs = centres[rng.integers(40, size=3000)] + rng.normal(size=(3000, 24)) * 0.7
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(rows, rows.where("id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = exact(np.arange(3000), vecs, range(0, 3000, 20), 20)
+    assert all(len(v) == 20 == len(set(v)) for v in got.values()) and set(got) == set(want)
+    assert sum(len(set(got[q]) & {x[1] for x in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+    hashes = neighbours.fitted(vecs, float(np.linalg.norm(vecs, axis=1).max()), len(vecs), 20)
+    hit, _ = hashes.visits(vecs[::20], vecs)
+    assert hashes.bits == 6 and hit.mean() < 0.2
+
+
+def test_queries_go_by_the_length_of_the_table(spark):
+    table = [(i, [float(i), 1.0]) for i in range(1, 8)] + [(20, [1.0, 1.0])]
+    rows = spark.createDataFrame([*table, (40, [1.0, 2.0, 3.0]), (60, [1.0, 2.0, 4.0])], "id long, vec array<double>")
+    got = neighbours.nearest(rows, rows.where("id % 20 = 0"), k=2).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(20, 1, 7, 8.0), (20, 2, 6, 7.0)]
+
+
 def test_neighbours_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (40, None), (60, []), (80, [0.0, 0.0]), (100, [nan, 1.0]), (120, [None, 1.0]), (140, [1.0, 2.0, 3.0]), (None, [3.0, 3.0])]
-    frame = spark.createDataFrame(rows, "id long, vec array<double>").where("id IS NOT NULL").withColumn("t", F.lit(9))
+    frame = spark.createDataFrame(rows, "id long, vec array<double>").where("id IS NOT NULL").withColumns({"t": F.lit(9), "row": F.lit("x")})
     got = [tuple(r) for r in neighbours.nearest(frame, frame.where("id % 20 = 0")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 2, 2.0), (20, 3, 0, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 1, 2.0), (20, 3, 2, 2.0), (20, 4, 0, 0.0)]
+    twice = neighbours.nearest(frame, frame.where("id = 1"), k=2).orderBy("rank").collect()
+    assert [tuple(r) for r in twice] == [(1, 1, 1, 2.0)] * 2 + [(1, 2, 2, 2.0)] * 2 or [r["vec_id"] for r in twice] == [1, 1, 2, 2]
     assert neighbours.nearest(frame.limit(0), frame.limit(0)).count() == 0
 
 
