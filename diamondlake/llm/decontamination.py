@@ -1,17 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages. Every window of every document that holds enough of a passage's words to reach
-the least overlap is a candidate: an index of each passage's rarest words finds them, and by its bound it misses none.
-Windows are as long as the passage, up to 32 words, or less than twice as long, and are searched with half a window on
-either side. The longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) and the
-share of the passage's TF-IDF weight too, with document frequencies counted over all documents. A randomised SVD, its
-products summed over tasks, gives the latent space of a block of passages, in which the cosine of a found window is
-reported; no window is dropped for its cosine, so the rank bears on nothing else.
+Benchmark items are cut into passages of at most 32 words. Passages are TF-IDF vectors (a word counts once, document
+frequencies over all documents); a randomised SVD of each block of ``RANK`` passages, one task a block, gives a latent
+space into which passages and the regions of every document are folded. A region is a candidate for a passage if its
+cosine reaches ``WEIGHT`` |p| / |x|, for their lengths |p| and |x| there: then it may hold that share of the passage's
+squared weight, which a leak must. A block has no more passages than the space has dimensions, so the space is full:
+the projection onto it changes no product with a passage, and the search misses no region that holds the share. What
+the projection saves is size: a region is ``RANK`` numbers a block, whatever the vocabulary.
+
+The longest common subsequence of words then decides, and for paraphrases the item's answer (its last words) too. A
+region is twice as long as a window that holds the passage, and regions begin at every half of a window.
 
 Defined results: null or wordless texts and items match nothing; repeated rows come back once a pair (doc_id, item);
-empty tables give an empty result; equal items each have their row; other columns are ignored. Words are runs of
-characters other than ASCII punctuation and white space, lower-cased. Only a block of items is broadcast, of at most ``ITEMS`` items and ``ITEM_BYTES``
-bytes; more items take more passes.
+equal items each have their row; of regions that match equally well the first is reported; texts and items of any length
+are cut in passages and regions, none is dropped; empty tables give an empty result; other columns are ignored. Words
+are runs of characters other than ASCII punctuation and white space, lower-cased. What is broadcast has a bound: the
+passages of a pass (``PASSES``) with their vectors, at most 33 MB, or ``TERMS`` words whose documents are counted; a
+larger benchmark takes more passes.
 """
 
 from __future__ import annotations
@@ -20,26 +25,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, slices, stored, table
+from .common import forget, row_key, slices, stored, table, unused_name
 from .shingles import PUNCTUATION, word_hashes
 
 WINDOW, STRIDE = 32, 16
-RANK, OVERSAMPLE, POWER = 96, 10, 2
-#: Share of a passage's squared TF-IDF weight that a paraphrase must hold.
+#: Passages of a block, and dimensions of its latent space; passages of a pass over the documents, about.
+RANK, PASSES = 128, 2048
+OVERSAMPLE, POWER, SEED = 8, 2, 7
+#: Words whose documents are counted in one pass.
+TERMS = 1 << 22
+#: Share of a passage's squared TF-IDF weight that a leak must hold.
 WEIGHT = 0.4
 SAME, PARAPHRASE, ANSWER_WORDS, ANSWER = 0.8, 0.6, 5, 0.6
 #: Items of fewer words must occur whole.
 SHORT = 8
 #: A term of more than this share of the documents is left out, but for a passage's rarest ``KEPT``.
 COMMON, KEPT = 0.1, 8
-ITEMS, ITEM_BYTES = 2048, 1 << 23
-SEED = 5
 
-FOUND = "item long, cosine double, overlap double, answered boolean, at long"
+PASSAGE = "number long, at int, words binary, length int, answer binary"
+FOUND = "number long, cosine double, overlap double, answered boolean, at long"
 
 
 def words(text: str) -> np.ndarray:
@@ -52,149 +61,161 @@ def passages(w: np.ndarray) -> list[np.ndarray]:
     return [w[i : i + WINDOW] for i in [*range(0, last, STRIDE), last]] if len(w) else []
 
 
+def stride(passage: np.ndarray) -> int:
+    """Half of a window that is as long as the passage, or up to twice as long: a power of two."""
+    return min(STRIDE, 1 << max(0, (len(passage) - 1).bit_length() - 1))
+
+
 @dataclass
-class Space:
-    """A block of items: its terms, their weighted latent vectors, and the passages folded in.
+class Passage:
+    number: int
+    words: np.ndarray
+    length: int
+    answer: np.ndarray
 
-    ``weights`` has each passage's distinct words and their squared weights. ``rare`` are the words that find passages:
-    those at ``first[i]`` to ``first[i + 1]`` of ``holders``, and a passage needs ``least`` of its own in one region.
-    ``strides`` has the step of each passage's windows.
-    """
+    @property
+    def least(self) -> float:
+        """The share of its words, in order, that a leak of this passage has at least."""
+        return 1.0 if self.length < SHORT else PARAPHRASE
 
-    items: list[np.ndarray]
-    owner: np.ndarray
-    texts: list[np.ndarray]
-    terms: np.ndarray
+
+@dataclass
+class Block:
+    """Passages of one stride. ``local`` maps the pass's terms to the block's own (-1: none); ``squares`` has their
+    squared weights, ``vectors`` their weighted latent vectors; ``folded`` and ``norms`` are those of the passages."""
+
+    stride: int
+    passages: list[Passage]
+    weights: list[tuple[np.ndarray, np.ndarray]]
+    local: np.ndarray
+    squares: np.ndarray
     vectors: np.ndarray
     folded: np.ndarray
-    weights: list[tuple[np.ndarray, np.ndarray]]
-    rare: np.ndarray
-    first: np.ndarray
-    holders: np.ndarray
-    least: np.ndarray
-    strides: np.ndarray
+    norms: np.ndarray
+
 
+@dataclass
+class Space:
+    """The terms of a pass, sorted, and its blocks."""
 
-def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each term occurs, and the number of documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    terms: np.ndarray
+    blocks: list[Block]
+
+
+def _passage_rows(benchmark: DataFrame) -> DataFrame:
+    """``PASSAGE`` rows of (number, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        n = np.zeros(len(known) + 1, np.int64)
         for b in slices(batches):
-            for t in b.column("text").to_pylist():
-                w = words(t)
-                at = np.minimum(np.searchsorted(known, w), len(known) - 1)
-                seen = np.zeros(len(known) + 1, bool)
-                seen[at[known[at] == w]] = True
-                seen[-1] = True
-                n += seen
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["term", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(len(terms) + 1, np.int64)
-    n[counted["term"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    return n[:-1], int(n[-1])
-
-
-def randomised_svd(rows: DataFrame, size: int, rank: int) -> np.ndarray:
-    """Right singular vectors [size, rank] of the sparse matrix with rows (terms array<long>, weights array<double>).
-
-    A product of the matrix, its transpose and a block of columns is summed a task at a time, and the sums block by
-    block of terms, so the driver gets one matrix of ``size`` x ``rank`` a pass.
-    """
-    spark = rows.sparkSession
-    width = min(size, rank + OVERSAMPLE)
-    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0]
-    block = 512
-
-    def product(columns: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast(columns)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            right, out = shared.value, np.zeros((size, width))
-            for b in batches:
-                for t, x in zip(b.column("terms").to_pylist(), b.column("weights").to_pylist(), strict=True):
-                    x = np.array(x)
-                    out[t] += np.outer(x, x @ right[t])
-            at = range(0, size, block)
-            yield pa.RecordBatch.from_arrays([pa.array(list(at), pa.int64()), pa.array([out[i : i + block].tobytes() for i in at], pa.binary())], ["at", "part"])
-
-        def total(parts: pa.Table) -> pa.Table:
-            sums = sum(np.frombuffer(p.as_py()) for p in parts.column("part"))
-            return pa.table({"at": parts.column("at")[:1], "part": pa.array([sums.tobytes()], pa.binary())})
-
-        summed = rows.mapInArrow(run, "at long, part binary").groupBy("at").applyInArrow(total, "at long, part binary")
-        parts = summed.orderBy("at").collect()
-        return np.frombuffer(b"".join(r["part"] for r in parts)).reshape(size, width)
+            out: list[list] = [[], [], [], [], []]
+            for number, text in zip(b.column("number").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = words(text)
+                for at, p in enumerate(passages(w)):
+                    for column, x in zip(out, (number, at, p.tobytes(), len(w), w[-ANSWER_WORDS:].tobytes()), strict=True):
+                        column.append(x)
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [c.split()[0] for c in PASSAGE.split(", ")])
 
-    for _ in range(POWER):
-        basis = np.linalg.qr(product(basis))[0]
-    image = product(basis)
-    _, turn = np.linalg.eigh(basis.T @ image)
-    return (basis @ turn[:, ::-1])[:, : min(rank, size)]
+    return benchmark.select("number", "text").mapInArrow(run, PASSAGE)
 
 
-def build_space(docs: DataFrame, items: list[str]) -> Space:
-    spark = docs.sparkSession
-    split = [words(t) for t in items]
-    cut = [(i, p) for i, w in enumerate(split) for p in passages(w)]
-    terms = np.unique(np.concatenate([p for _, p in cut] or [np.zeros(0, np.uint64)]))
-    owner = np.array([i for i, _ in cut], np.int64)
-    if not len(terms):
-        none = np.zeros(0, np.int64)
-        return Space(split, owner, [], terms, np.zeros((0, 0)), np.zeros((0, 0)), [], terms, none, none, none, none)
-    df, n = _frequencies(docs, terms)
-    idf = np.log1p(n / (df + 0.5))
-    rows, used = [], df <= COMMON * max(n, 1)
-    for _, p in cut:
-        at, tf = np.unique(np.searchsorted(terms, p), return_counts=True)
-        rows.append((at, tf))
-        used[at[np.argsort(-idf[at], kind="stable")[:KEPT]]] = True
-    place = np.cumsum(used) - 1
-    matrix = []
-    for at, tf in rows:
-        at, tf = at[used[at]], tf[used[at]]
-        matrix.append((place[at].tolist(), (tf * idf[at]).tolist()))
-    frame = spark.createDataFrame(matrix, "terms array<long>, weights array<double>")
-    right = randomised_svd(frame, int(used.sum()), RANK)
-    folded = np.stack([np.array(x) @ right[t] for t, x in matrix])
-    vectors = (idf[used][:, None] * right).astype(np.float32)
-    texts = [p for _, p in cut]
-    weights = [(terms[at], (tf * idf[at]) ** 2) for at, tf in rows]
-    return Space(split, owner, texts, terms[used], vectors, folded.astype(np.float32), weights, *_rare(split, owner, texts, terms, df))
+def _terms(cut: DataFrame) -> DataFrame:
+    """The distinct words of passages."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = np.unique(np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], ["term"])
 
-def stride(passage: np.ndarray) -> int:
-    """Half of a window that is as long as the passage, or up to twice as long: a power of two."""
-    return min(STRIDE, 1 << max(0, (len(passage) - 1).bit_length() - 1))
+    return cut.select("words").mapInArrow(run, "term long").distinct()
 
 
-def least_share(item: np.ndarray) -> float:
-    """The share of a passage's words, in order, that a leak of this item has at least."""
-    return 1.0 if len(item) < SHORT else PARAPHRASE
+def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): in how many documents each term occurs; a null term has the number of documents. All terms are counted
+    in one pass over the documents, or one for every ``TERMS`` of them."""
+    n = terms.count()
+    parts = max(1, -(-n // TERMS))
+    out = None
+    for part in range(parts):
+        held = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toPandas()["term"].to_numpy(np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(held.view(np.uint64)))
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, n = shared.value, 0
+            counts = np.zeros(len(known), np.int64)
+            for b in slices(batches):
+                for t in b.column("text").to_pylist():
+                    n += 1
+                    w = words(t)
+                    if len(known) and len(w):
+                        at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                        counts[np.unique(at[known[at] == w])] += 1
+            some = np.flatnonzero(counts)
+            found = pa.array(np.append(known[some].view(np.int64), 0), mask=np.append(np.zeros(len(some), bool), True))
+            yield pa.RecordBatch.from_arrays([found, pa.array(np.append(counts[some], n))], ["term", "n"])
+
+        counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counted = counted if not part else counted.where("term IS NOT NULL")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+def randomised_svd(matrix: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors [columns, rank or fewer]: the range of a random block of columns, sharpened by powers."""
+    width = min(*matrix.shape, rank + OVERSAMPLE)
+    basis = np.linalg.qr(matrix.T @ np.random.default_rng(SEED).standard_normal((matrix.shape[0], width)))[0]
+    for _ in range(POWER):
+        basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
+    _, _, right = np.linalg.svd(matrix @ basis, full_matrices=False)
+    return (basis @ right.T)[:, :rank]
+
+
+def _latent(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Right singular vectors of each block's matrix, of (block, row, column, weight, columns) cells: one task a block,
+    whose size is bounded by its passages."""
 
-def _rare(items: list[np.ndarray], owner: np.ndarray, texts: list[np.ndarray], terms: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Index of the passages' rarest words.
+    def solve(cells: pd.DataFrame) -> pd.DataFrame:
+        matrix = np.zeros((int(cells["row"].max()) + 1, int(cells["columns"].iloc[0])))
+        matrix[cells["row"], cells["column"]] = cells["weight"]
+        right = randomised_svd(matrix, RANK).astype(np.float32)
+        return pd.DataFrame({"block": [cells["block"].iloc[0]], "rank": [right.shape[1]], "vectors": [right.tobytes()]})
 
-    A leak lacks at most ``spare`` of a passage's words, so of any ``spare + k`` of them it has k. The rarest are asked.
-    """
-    found, least = [], []
-    for i, p in zip(owner.tolist(), texts, strict=True):
-        need = int(np.ceil(least_share(items[i]) * len(p) - 1e-9))
-        k = min(need, len(p) if len(items[i]) < SHORT else max(3, len(p) // 6))
-        at = np.searchsorted(terms, p)
-        found.append(at[np.argsort(df[at], kind="stable")[: len(p) - need + k]])
-        least.append(k)
-    holder = np.repeat(np.arange(len(texts)), [len(f) for f in found])
-    at = np.concatenate(found)
-    order = np.argsort(at, kind="stable")
-    rare, count = np.unique(at, return_counts=True)
-    strides = np.array([stride(p) for p in texts], np.int64)
-    return terms[rare], np.concatenate([[0], np.cumsum(count)]), holder[order], np.array(least, np.int64), strides
+    found = rows.groupBy("block").applyInPandas(solve, "block int, rank int, vectors binary").collect()
+    return {r["block"]: np.frombuffer(r["vectors"], np.float32).reshape(-1, r["rank"]) for r in found}
+
+
+def build_space(spark, held: list[Passage], terms: np.ndarray, df: np.ndarray, n: int) -> Space:
+    """The latent spaces of a pass's passages; ``df`` counts the documents, of ``n``, that have each of the terms."""
+    idf = np.log1p(n / (df + 0.5))
+    used = df <= COMMON * max(n, 1)
+    own = [np.searchsorted(terms, np.unique(p.words)) for p in held]
+    for at in own:
+        used[at[np.argsort(-idf[at], kind="stable")[:KEPT]]] = True
+    own = [at[used[at]] for at in own]
+    classes: dict[int, list[int]] = {}
+    for i, p in enumerate(held):
+        classes.setdefault(stride(p.words), []).append(i)
+    parts = [(step, of[lo : lo + RANK]) for step, of in sorted(classes.items()) for lo in range(0, len(of), RANK)]
+    cells, mine = [], []
+    for number, (_, of) in enumerate(parts):
+        columns = np.unique(np.concatenate([own[i] for i in of]))
+        mine.append(columns)
+        for row, i in enumerate(of):
+            at = np.searchsorted(columns, own[i])
+            cells.append(pd.DataFrame({"block": number, "row": row, "column": at, "weight": idf[own[i]], "columns": len(columns)}))
+    schema = "block int, row int, column int, weight double, columns int"
+    right = _latent(spark.createDataFrame(pd.concat(cells, ignore_index=True), schema)) if cells else {}
+    blocks = []
+    for number, (step, of) in enumerate(parts):
+        columns = mine[number]
+        local = np.full(len(terms), -1, np.int32)
+        local[columns] = np.arange(len(columns))
+        vectors = idf[columns][:, None] * right[number]
+        folded = np.stack([vectors[np.searchsorted(columns, own[i])].sum(axis=0) for i in of])
+        weights = [(terms[own[i]], idf[own[i]] ** 2) for i in of]
+        norms = np.array([w.sum() for _, w in weights])
+        blocks.append(Block(step, [held[i] for i in of], weights, local, idf[columns] ** 2, vectors.astype(np.float32), folded.astype(np.float32), norms))
+    return Space(terms, blocks)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -210,67 +231,74 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _spread(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers low, low + 1, ... of each range, one after another."""
-    return np.arange(sizes.sum()) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-
-
-def _candidates(space: Space, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """(document, window, passage) of all windows whose region holds enough of the passage's rarest words.
-
-    The region of window w is the steps w - 1 to w + 2. Words that occur more than once count as often, which only adds
-    candidates.
-    """
-    every = np.concatenate(docs)
-    sizes = np.array([len(d) for d in docs])
-    at = np.minimum(np.searchsorted(space.rare, every), len(space.rare) - 1)
-    hit = np.flatnonzero(space.rare[at] == every)
-    if not len(hit):
+def _candidates(block: Block, term: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """(document, region, passage, cosine) of all regions that may hold the least share of a passage's weight; the hits
+    are the block's ``term``s in ``doc`` at word ``place``. Region w spans the steps w - 1 to w + 2."""
+    step = place // block.stride
+    steps = int(step.max()) + 4
+    least = WEIGHT * block.norms.min() * (1 - 1e-3)
+    within = step[:, None] + np.array([1, 0, -1, -2])
+    region = (doc[:, None] * steps + within)[within >= 0]
+    term = np.repeat(term, (within >= 0).sum(axis=1))
+    # No region whose words together weigh too little can hold the share, counted with repeats or without.
+    names, region = np.unique(region, return_inverse=True)
+    heavy = np.bincount(region, weights=block.squares[term]) >= least
+    pairs = np.unique((region * len(block.squares) + term)[heavy[region]])
+    region, term = pairs // len(block.squares), pairs % len(block.squares)
+    first = np.flatnonzero(np.diff(region, prepend=-1))
+    if not len(first):
         return
-    doc = np.repeat(np.arange(len(docs)), sizes)[hit]
-    place = hit - (np.cumsum(sizes) - sizes)[doc]
-    count = np.diff(space.first)[at[hit]]
-    passage = space.holders[_spread(space.first[at[hit]], count)]
-    step = np.repeat(place, count) // space.strides[passage]
-    steps = int(step.max()) + 8
-    key = np.sort((np.repeat(doc, count) * len(space.texts) + passage) * steps + step)
-    last = np.arange(len(key)) + space.least[key // steps % len(space.texts)] - 1
-    begins = np.flatnonzero(last < len(key))
-    begins = begins[key[last[begins]] - key[begins] <= 3]
-    low = np.maximum(key[last[begins]] - 2, key[begins] // steps * steps)
-    for k in np.unique(_spread(low, key[begins] + 2 - low)).tolist():
-        yield k // steps // len(space.texts), k % steps, k // steps % len(space.texts)
-
-
-def _cosine(space: Space, window: np.ndarray, p: int) -> float:
-    """Cosine of a window of words and a passage in the latent space."""
-    at = np.minimum(np.searchsorted(space.terms, window), len(space.terms) - 1)
-    x = space.vectors[at[space.terms[at] == window]].sum(axis=0)
-    return float(x @ space.folded[p] / max(float(np.linalg.norm(x) * np.linalg.norm(space.folded[p])), 1e-12))
+    weight = np.add.reduceat(block.squares[term], first)
+    sizes = np.diff(np.append(first, len(region)))
+    strong = weight >= least
+    term, sizes, names = term[np.repeat(strong, sizes)], sizes[strong], names[region[first]][strong]
+    ends = np.cumsum(sizes)
+    for lo in range(0, len(names), 2048):
+        own = slice(lo, min(lo + 2048, len(names)))
+        begin = int(ends[lo] - sizes[lo])
+        x = np.add.reduceat(block.vectors[term[begin : int(ends[own.stop - 1])]], ends[own] - sizes[own] - begin, axis=0)
+        product = x @ block.folded.T
+        length = np.linalg.norm(x, axis=1)
+        for r, p in zip(*np.nonzero(product >= WEIGHT * block.norms[None, :] * (1 - 1e-3)), strict=True):
+            k = int(names[lo + r])
+            yield k // steps, k % steps, int(p), float(product[r, p] / max(length[r] * np.sqrt(block.norms[p]), 1e-12))
+
+
+def judged(p: Passage, weights: tuple[np.ndarray, np.ndarray], doc: np.ndarray, begin: int, step: int) -> tuple[float, bool] | None:
+    """(overlap, answered) if the region of four steps from ``begin`` leaks the passage."""
+    region = doc[max(0, begin) : begin + 4 * step]
+    terms, weight = weights
+    if weight[np.isin(terms, region)].sum() < WEIGHT * weight.sum() or np.isin(p.words, region).mean() < p.least:
+        return None
+    overlap = common_subsequence(p.words, region) / len(p.words)
+    near = doc[max(0, begin) : begin + 3 * step + p.length]
+    answered = common_subsequence(p.answer, near) >= ANSWER * len(p.answer)
+    return (overlap, answered) if overlap >= max(p.least, 0 if answered else SAME) else None
 
 
 def matches(space: Space, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, bool, int]]:
-    """(document, item) -> best (overlap, cosine, answered, first word of the window)."""
+    """(document, item) -> best (overlap, cosine, answered, first word of the region's window)."""
     best: dict[tuple[int, int], tuple[float, float, bool, int]] = {}
-    for d, window, p in _candidates(space, docs):
-        text, item, step = space.texts[p], int(space.owner[p]), int(space.strides[p])
-        begin = max(0, (window - 1) * step)
-        region = docs[d][begin : (window + 3) * step]
-        need = least_share(space.items[item])
-        if np.isin(text, region).mean() < need:
-            continue
-        overlap = common_subsequence(text, region) / len(text)
-        if overlap < need:
+    every, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    if not len(every) or not len(space.terms):
+        return best
+    at = np.minimum(np.searchsorted(space.terms, every), len(space.terms) - 1)
+    hit = np.flatnonzero(space.terms[at] == every)
+    doc = np.repeat(np.arange(len(docs)), sizes)[hit]
+    place = hit - (np.cumsum(sizes) - sizes)[doc]
+    for block in space.blocks:
+        term = block.local[at[hit]]
+        mine = term >= 0
+        if not mine.any():
             continue
-        answer = space.items[item][-ANSWER_WORDS:]
-        near = docs[d][begin : (window + 2) * step + len(space.items[item])]
-        answered = common_subsequence(answer, near) >= ANSWER * len(answer)
-        if overlap < SAME:
-            terms, weight = space.weights[p]
-            if not answered or weight[np.isin(terms, region)].sum() < WEIGHT * weight.sum():
-                continue
-        cosine = _cosine(space, docs[d][window * step : (window + 2) * step], p)
-        best[d, item] = max(best.get((d, item), (0.0, -1.0, False, 0)), (overlap, cosine, answered, window * step))
+        for d, region, number, cosine in _candidates(block, term[mine], doc[mine], place[mine]):
+            p = block.passages[number]
+            found = judged(p, block.weights[number], docs[d], (region - 1) * block.stride, block.stride)
+            if found:
+                new = (found[0], cosine, found[1], region * block.stride)
+                old = best.get((d, p.number))
+                if old is None or (new[:3], -new[3]) > (old[:3], -old[3]):
+                    best[d, p.number] = new
     return best
 
 
@@ -280,27 +308,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     named = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    named = stored(named.withColumn("number", F.monotonically_increasing_id()), "benchmark")
-    size = named.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    blocks = max(1, -(-size["n"] // ITEMS), -(-(size["b"] or 0) // ITEM_BYTES))
-    kinds = dict(rows.dtypes) | dict(named.dtypes)
-    out = spark.createDataFrame([], f"doc_id {kinds['doc_id']}, {FOUND.replace('item long', 'number long')}")
-    for block in range(blocks):
-        held = named.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == block).orderBy("number").collect()
-        space = build_space(rows, [r["text"] for r in held])
-        if not len(space.terms):
+    named = stored(named.withColumn("number", F.monotonically_increasing_id()), "leak-items")
+    cut = stored(_passage_rows(named), "leak-passages")
+    terms = stored(_terms(cut), "leak-terms")
+    counts = stored(_frequencies(rows, terms), "leak-frequencies")
+    n = (counts.where("term IS NULL").first() or [0, 0])[1]
+    passes = max(1, -(-cut.count() // PASSES))
+    kind = f"doc_id {dict(rows.dtypes)['doc_id']}, {FOUND}"
+    out = spark.createDataFrame([], kind)
+    for i in range(passes):
+        own = cut.where(F.pmod(F.xxhash64("number", "at"), F.lit(passes)) == i)
+        read = lambda raw: np.frombuffer(raw, np.uint64)
+        held = [Passage(r["number"], read(r["words"]), r["length"], read(r["answer"])) for r in own.orderBy("number", "at").collect()]
+        if not held:
             continue
-        shared = spark.sparkContext.broadcast((space, [r["number"] for r in held]))
+        known = _terms(own).join(counts, "term", "left").toPandas()
+        hashes = known["term"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        space = build_space(spark, held, hashes[order], known["n"].fillna(0).to_numpy(np.int64)[order], n)
+        shared = spark.sparkContext.broadcast(space)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held_space, numbers = shared.value
             for part in slices(batches, 128):
-                found = matches(held_space, [words(t) for t in part.column("text").to_pylist()])
+                found = matches(shared.value, [words(t) for t in part.column("text").to_pylist()])
                 keys, values = list(found), list(found.values())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array([d for d, _ in keys], pa.int64())),
-                        pa.array([numbers[i] for _, i in keys], pa.int64()),
+                        pa.array([number for _, number in keys], pa.int64()),
                         pa.array([v[1] for v in values], pa.float64()),
                         pa.array([v[0] for v in values], pa.float64()),
                         pa.array([bool(v[2]) for v in values], pa.bool_()),
@@ -309,16 +344,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     ["doc_id", "number", "cosine", "overlap", "answered", "at"],
                 )
 
-        out = out.unionByName(rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, {FOUND.replace('item long', 'number long')}"))
-    best = F.max(F.struct("overlap", "cosine", "answered", "at")).alias("x")
+        out = out.unionByName(rows.mapInArrow(run, kind))
+    forget(terms)
+    best = F.max(F.struct("overlap", "cosine", "answered", (-F.col("at")).alias("back"))).alias("x")
     joined = out.groupBy("doc_id", "number").agg(best).join(named.select("number", "item_id"), "number")
-    return joined.select("doc_id", "item_id", "x.cosine", "x.overlap", "x.answered", "x.at")
+    return joined.select("doc_id", "item_id", "x.cosine", "x.overlap", "x.answered", (-F.col("x.back")).alias("at"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns as they were. Rows go by id and text, so
     that a leak takes no other row with its id, or without one."""
-    mark = next(n for i in range(len(docs.columns) + 1) if (n := f"__leak{i}") not in {c.lower() for c in docs.columns})
+    mark = unused_name(docs.columns, "leak")
     keyed = docs.withColumn(mark, row_key("doc_id", "text"))
     leaks = stored(find_leaks(keyed.select(F.col(mark).alias("doc_id"), "text"), benchmark).select("doc_id").distinct(), "leaks")
     return keyed.join(leaks.select(F.col("doc_id").alias(mark)), mark, "left_anti").drop(mark)

@@ -384,12 +384,66 @@ def test_a_leak_takes_no_row_that_shares_its_id(spark):
     assert kept.columns == d.columns and {r["text"] for r in kept.collect()} == {"clean", "clean too", None}
 
 
-def test_svd_spans_the_matrix(spark):
+def test_svd_spans_the_matrix():
     rng = np.random.default_rng(1)
     dense = rng.normal(size=(30, 4)) @ rng.normal(size=(4, 40))
-    rows = spark.createDataFrame([(list(range(40)), r.tolist()) for r in dense], "terms array<long>, weights array<double>")
-    right = decontamination.randomised_svd(rows, 40, 4)
-    assert np.allclose(dense @ right @ right.T, dense, atol=1e-6)
+    right = decontamination.randomised_svd(dense, 4)
+    assert right.shape == (40, 4) and np.allclose(dense @ right @ right.T, dense, atol=1e-6)
+    whole = decontamination.randomised_svd(rng.normal(size=(6, 50)), decontamination.RANK)
+    assert whole.shape[1] == 6 and np.allclose(whole.T @ whole, np.eye(6), atol=1e-8)
+
+
+def brute_leaks(docs, items):
+    """Every region of every document against every passage, weights from plain sets of words."""
+    split = {i: decontamination.words(t or "") for i, t in docs}
+    seen = collections.Counter(x for w in split.values() for x in set(w.tolist()))
+    idf = lambda x: np.log1p(len(docs) / (seen[x] + 0.5))
+    cut = [(i, p, decontamination.words(t or "")) for i, t in items for p in decontamination.passages(decontamination.words(t or ""))]
+    used = {x for x in {x for _, p, _ in cut for x in p.tolist()} if seen[x] <= decontamination.COMMON * len(docs)}
+    for _, p, _ in cut:
+        used |= set(sorted(set(p.tolist()), key=lambda x: (-idf(x), x))[: decontamination.KEPT])
+    found = {}
+    for item, p, whole in cut:
+        own = np.array(sorted(x for x in set(p.tolist()) if x in used), np.uint64)
+        held = decontamination.Passage(item, p, len(whole), whole[-decontamination.ANSWER_WORDS :])
+        step = decontamination.stride(p)
+        for i, w in split.items():
+            for begin in range(-step, len(w), step):
+                said = decontamination.judged(held, (own, np.array([idf(x) ** 2 for x in own.tolist()])), w, begin, step)
+                if said:
+                    found[i, item] = max(found.get((i, item), 0), said[0])
+    return found
+
+
+@pytest.mark.parametrize(("seed", "passes", "rank"), [(1, 2048, 128), (2, 40, 8)])
+def test_leaks_equal_brute_force(spark, monkeypatch, seed, passes, rank):
+    monkeypatch.setattr(decontamination, "PASSES", passes)
+    monkeypatch.setattr(decontamination, "RANK", rank)
+    rng = random.Random(seed)
+    vocabulary, odds = [f"w{i}" for i in range(900)], [1 / (i + 4) for i in range(900)]
+    prose = lambda n: rng.choices(vocabulary, odds, k=n)
+    items = [(i, " ".join(prose(rng.choice([3, 6, 9, 20, 32, 45, 80])))) for i in range(60)] + [(60, None), (61, "w0 w1")]
+    docs = [(-1, None), (-2, "")]
+    for i in range(70):
+        told = items[rng.randrange(60)][1].split()
+        for _ in range(rng.randint(0, len(told) // 3)):
+            told[rng.randrange(len(told))] = rng.choice(vocabulary)
+        for _ in range(rng.randint(0, 3)):
+            told.insert(rng.randrange(len(told) + 1), rng.choice(vocabulary))
+        docs.append((i, " ".join(prose(rng.randint(0, 120)) + told + prose(rng.randint(0, 60)))))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["overlap"] for r in decontamination.find_leaks(d, b).collect()}
+    want = brute_leaks(docs, items)
+    assert len(want) > 30 and got == want
+
+
+def test_very_long_texts_and_equal_items(spark):
+    leak = " ".join(f"rare{i}" for i in range(40))
+    d = spark.createDataFrame([(1, "filler words " * 60_000 + leak), (2, leak + " x" * 200_000), (3, "filler")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, leak), (2, leak), (3, " ".join(f"long{i}" for i in range(50_000)))], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["overlap"], r["at"]) for r in decontamination.find_leaks(d, b).collect())
+    assert [(x[0], x[1], x[2]) for x in found] == [(1, 1, 1.0), (1, 2, 1.0), (2, 1, 1.0), (2, 2, 1.0)] and found[2][3] == 0
 
 
 def test_subsequence():
