@@ -40,7 +40,7 @@ SEED = 20
 SIDE, STEP = 3, 1.0
 CELLS = 2 * SIDE
 #: Shares to choose from, and the share of true neighbours that a choice must reach on the sample.
-REACHES = (0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 1.0)
+REACHES = (0.001, 0.003, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.85, 1.0)
 VISITS = (0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.3, 0.5, 1.0)
 TARGET = 0.95
 #: What a row of a visited group costs against a row that is compared.
@@ -50,11 +50,15 @@ ROUTED = 0.25
 SAMPLE, SAMPLE_QUERIES = 8192, 192
 #: Sample vectors from which a query learns the score that its share of buckets begins with.
 YARDSTICK = 2048
+#: Groups that a query visits in a table at most, unless it visits all.
+MOST_GROUPS = 1 << 16
 #: Candidates of one task's block at most, about.
 BLOCK = 4096
+#: Found rows held before they are reduced to the best of each query.
+HELD = 1 << 20
 
 ROUTED_ROWS = "t int, bucket long, kind int, row long, id long, own boolean, cut double, vec array<double>"
-FOUND = "q long, row long, id long, score double"
+FOUND = "q long, rows array<long>, ids array<long>, scores array<double>"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -116,31 +120,30 @@ class Hashes:
         """The side of the median on which each of the first projections lies, as one number."""
         return (cells[:, : self.bits] >= SIDE) @ (1 << np.arange(self.bits, dtype=np.int64))
 
-    def visited_groups(self, vec: np.ndarray, t: int) -> list[np.ndarray]:
-        """For each query the groups that it visits, likeliest first. Only as many bits are searched as can matter: the
-        order is that of the costs of leaving the likelier side, summed."""
+    def sides(self, vec: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query its likeliest group, and [query, bit] what it costs to leave the likelier side."""
         place = self.projected(vec, t, True)[:, : self.bits] * self.slope[t][: self.bits] / self.spread[t][: self.bits]
         odds = np.log(_phi(place) / _phi(-place))
-        home = (odds >= 0) @ (1 << np.arange(self.bits, dtype=np.int64))
+        return (odds >= 0) @ (1 << np.arange(self.bits, dtype=np.int64)), np.abs(odds)
+
+    def visited_groups(self, vec: np.ndarray, t: int) -> list[np.ndarray]:
+        """For each query the groups that it visits, likeliest first: those of least cost in sum."""
         wanted = max(1, math.ceil(self.reach * (1 << self.bits)))
-        return [h ^ _cheapest(np.abs(o), wanted) for h, o in zip(home, odds, strict=True)]
+        return [home ^ _cheapest(costs, wanted)[0] for home, costs in zip(*self.sides(vec, t), strict=True)]
 
     def one_hot(self, cells: np.ndarray) -> np.ndarray:
         out = np.zeros((len(cells), HASHES * CELLS), np.float32)
         out[np.arange(len(cells))[:, None], np.arange(HASHES) * CELLS + cells] = 1
         return out
 
-    def cuts(self, gains: np.ndarray, t: int) -> np.ndarray:
-        """For each query the score from which on buckets belong to its best share."""
-        if self.visit >= 1:
-            return np.full(len(gains), -np.inf)
+    def cuts(self, gains: np.ndarray, t: int, visits: tuple[float, ...] = ()) -> np.ndarray:
+        """[share, query]: the score from which on buckets belong to the query's best share."""
         yard = self.one_hot(self.yard[t]).T
-        score = gains.reshape(len(gains), -1).astype(np.float32) @ yard
-        place = min(yard.shape[1] - 1, int(self.visit * yard.shape[1]))
-        return -np.partition(-score, place, axis=1)[:, place].astype(np.float64)
+        score = -np.sort(-(gains.reshape(len(gains), -1).astype(np.float32) @ yard), axis=1)
+        return np.array([score[:, int(v * yard.shape[1])] if v < 1 else np.full(len(gains), -np.inf) for v in visits or (self.visit,)], np.float64)
 
     def visits(self, asked: np.ndarray, vecs: np.ndarray) -> tuple[np.ndarray, float]:
-        """[query, vector]: whether some table compares the two, and the share of rows in visited groups."""
+        """[query, vector]: whether some table compares the two, and the rows of visited groups, in tables' sizes."""
         hit, routed = np.zeros((len(asked), len(vecs)), bool), 0.0
         for t in range(TABLES):
             gains, cells = self.gains(asked, t), self.cells(vecs, t)
@@ -149,20 +152,21 @@ class Hashes:
             for q, groups in enumerate(self.visited_groups(asked, t)):
                 near[q, groups] = True
             met = near[:, self.group(cells)]
-            hit |= met & (score >= self.cuts(gains, t)[:, None])
+            hit |= met & (score >= self.cuts(gains, t)[0][:, None])
             routed += met.mean()
         return hit, routed
 
 
-def _cheapest(costs: np.ndarray, wanted: int) -> np.ndarray:
-    """The ``wanted`` subsets of the costs of least sum, as bit masks, by joining a cost at a time."""
+def _cheapest(costs: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``wanted`` subsets of the costs of least sum, as bit masks with their sums, by joining a cost at a time."""
     masks, sums = np.zeros(1, np.int64), np.zeros(1)
     for bit in np.argsort(costs, kind="stable").tolist():
         masks, sums = np.concatenate([masks, masks | 1 << bit]), np.concatenate([sums, sums + costs[bit]])
         if len(sums) > wanted:
             best = np.argsort(sums, kind="stable")[:wanted]
             masks, sums = masks[best], sums[best]
-    return masks[np.argsort(sums, kind="stable")]
+    order = np.argsort(sums, kind="stable")
+    return masks[order], sums[order]
 
 
 def fitted(sample: np.ndarray, largest: float, rows: int, k: int) -> Hashes:
@@ -190,12 +194,26 @@ def fitted(sample: np.ndarray, largest: float, rows: int, k: int) -> Hashes:
         near, own = h.projected(sample, t, False)[true], h.projected(asked, t, True)[:, None, :]
         h.slope[t] = (near * own).sum(axis=(0, 1)) / np.maximum((own**2).sum(axis=(0, 1)) * wanted, 1e-9)
         h.spread[t] = np.maximum((near - h.slope[t] * own).std(axis=(0, 1)), 0.05)
+    reaches = [r for r in REACHES if r == 1 or bits and r * (1 << bits) <= MOST_GROUPS]
+    most = max(math.ceil(r * (1 << bits)) for r in reaches if r < 1 or bits <= 12) if bits else 1
+    # How far each sample vector's group lies from the query's own, and how far each reach goes.
+    far, limit, score, cut = [], [], [], []
+    for t in range(TABLES):
+        home, costs = h.sides(asked, t)
+        apart = home[:, None] ^ h.group(cells[t])[None, :]
+        far.append(sum(((apart >> i & 1) * costs[:, i, None] for i in range(bits)), np.zeros(apart.shape)))
+        sums = [_cheapest(c, most)[1] for c in costs]
+        limit.append(np.array([[x[math.ceil(r * (1 << bits)) - 1] if r < 1 else np.inf for x in sums] for r in reaches]))
+        gains = h.gains(asked, t)
+        score.append(gains.reshape(len(asked), -1).astype(np.float32) @ h.one_hot(cells[t]).T)
+        cut.append(h.cuts(gains, t, VISITS))
     best = (1 + ROUTED * TABLES, 1.0, 1.0)
-    for h.reach, h.visit in itertools.product(REACHES if bits else (1.0,), VISITS):
-        hit, routed = h.visits(asked, sample)
-        cost = hit.mean() + ROUTED * routed
-        if np.take_along_axis(hit, true, axis=1).mean() >= TARGET and cost < best[0]:
-            best = (cost, h.reach, h.visit)
+    for (i, reach), (j, visit) in itertools.product(enumerate(reaches), enumerate(VISITS)):
+        met = [far[t] <= limit[t][i][:, None] + 1e-12 for t in range(TABLES)]
+        hit = np.logical_or.reduce([met[t] & (score[t] >= cut[t][j][:, None]) for t in range(TABLES)])
+        cost = hit.mean() + ROUTED * sum(m.mean() for m in met)
+        if cost < best[0] and np.take_along_axis(hit, true, axis=1).mean() >= TARGET:
+            best = (cost, reach, visit)
     _, h.reach, h.visit = best
     return h
 
@@ -211,7 +229,7 @@ def _routed(rows: DataFrame, shared, query: bool) -> DataFrame:
                 if query:
                     groups = h.visited_groups(vec, t)
                     at = np.repeat(np.arange(len(b)), [len(g) for g in groups])
-                    bucket, cut = np.concatenate(groups), h.cuts(h.gains(vec, t), t)[at]
+                    bucket, cut = np.concatenate(groups), h.cuts(h.gains(vec, t), t)[0][at]
                 else:
                     at, bucket, cut = np.arange(len(b)), h.group(h.cells(vec, t)), np.zeros(len(b))
                 columns = [np.full(len(at), t, np.int32), bucket, np.full(len(at), int(query), np.int32)]
@@ -238,13 +256,40 @@ def _best(q: np.ndarray, q_id: int, ids: np.ndarray, own: np.ndarray, cand: np.n
     return some[order], score[order]
 
 
+Finds = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _top(finds: list[Finds], k: int) -> list[Finds]:
+    """The best ``k`` of each query, a row found twice taken once, as (q, row, id, score) in order."""
+    if not finds:
+        return []
+    q, row, ids, score = (np.concatenate(x) for x in zip(*finds, strict=True))
+    order = np.lexsort((row, ids, -score, q))
+    q, row, ids, score = q[order], row[order], ids[order], score[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (row[1:] != row[:-1])
+    q, row, ids, score = q[new], row[new], ids[new], score[new]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return [(q[kept], row[kept], ids[kept], score[kept])]
+
+
+def _lists(finds: list[Finds]) -> Iterator[pa.RecordBatch]:
+    """One row a query."""
+    for q, *columns in finds:
+        names, first = np.unique(q, return_index=True)
+        ends = pa.array(np.append(first, len(q)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns)], ["q", "rows", "ids", "scores"])
+
+
 def _searched(dealt: DataFrame, shared, k: int) -> DataFrame:
-    """Rows of a block lie together, candidates first; each query finds its best ``k`` of a block."""
+    """Rows of a block lie together, candidates first; each task returns one row a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h: Hashes = shared.value
         key, held = None, []
         block: tuple[np.ndarray, ...] = ()
+        found: list[Finds] = []
+        size = 0
         for b in batches:
             if not len(b):
                 continue
@@ -265,25 +310,34 @@ def _searched(dealt: DataFrame, shared, k: int) -> DataFrame:
                     block = tuple(np.concatenate(x) for x in zip(*held, strict=True))
                     codes = h.one_hot(h.cells(block[3], t)).T if t >= 0 else None
                 for at in range(lo, hi, 256):
-                    some = slice(at, min(hi, at + 256))
-                    score = h.gains(vecs[some], t).reshape(some.stop - at, -1).astype(np.float32) @ codes if t >= 0 else None
-                    out: list[list[np.ndarray]] = [[], [], [], []]
-                    for i in range(at, some.stop):
+                    to = min(hi, at + 256)
+                    score = h.gains(vecs[at:to], t).reshape(to - at, -1).astype(np.float32) @ codes if t >= 0 else None
+                    for i in range(at, to):
                         near = np.flatnonzero(score[i - at] >= cut[i]) if t >= 0 else np.arange(len(block[0]))
                         place, value = _best(vecs[i], ids[i], block[1][near], block[2][near], block[3][near], k)
-                        for column, x in zip(out, (np.full(len(place), row[i]), block[0][near][place], block[1][near][place], value), strict=True):
-                            column.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], [c.split()[0] for c in FOUND.split(", ")])
+                        found.append((np.full(len(place), row[i]), block[0][near][place], block[1][near][place], value))
+                        size += len(place)
+                    if size > HELD:
+                        found = _top(found, k)
+                        size = len(found[0][0])
+        yield from _lists(_top(found, k))
 
     laid = dealt.repartition("t", "bucket", "part").sortWithinPartitions("t", "bucket", "part", "kind")
     return laid.select("t", "bucket", "part", "kind", "row", "id", "own", "cut", "vec").mapInArrow(run, FOUND)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each query over all tables and blocks, a row found twice taken once."""
-    once = found.groupBy("q", "row").agg(F.first("id").alias("id"), F.max("score").alias("score"))
-    order = W.Window.partitionBy("q").orderBy(F.desc("score"), "id", "row")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The best ``k`` of each query over all tables and blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finds: list[Finds] = []
+        for b in batches:
+            sizes = b.column("rows").value_lengths().to_numpy()
+            finds.append((np.repeat(b.column("q").to_numpy(), sizes), *(np.asarray(b.column(c).flatten()) for c in ("rows", "ids", "scores"))))
+            finds = _top(finds, k) if sum(len(f[0]) for f in finds) > HELD else finds
+        yield from _lists(_top(finds, k))
+
+    return found.repartition("q").mapInArrow(run, FOUND)
 
 
 def _parted(routed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -323,15 +377,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     counts = stored(routed.groupBy("t", "bucket").agg(parts.alias("parts")), "ann-groups")
     found = stored(_merged(_searched(_parted(routed.unionByName(_routed(asked, shared, True)), counts), shared, k), k), "ann-found")
     forget(counts)
-    full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, facts["n"] - 1))
-    short = asked.join(full.select(F.col("q").alias("row")), "row", "left_anti")
+    whole = found.where(F.size("ids") >= min(k, facts["n"] - 1))
+    short = asked.join(whole.select(F.col("q").alias("row")), "row", "left_anti")
     if not short.isEmpty():
         one = spark.createDataFrame([(-1, 0, -(-facts["n"] // BLOCK))], "t int, bucket long, parts long")
         rest = _merged(_searched(_parted(_whole(index, 0).unionByName(_whole(short, 1)), one), shared, k), k)
-        found = found.join(short.select(F.col("row").alias("q")), "q", "left_anti").unionByName(rest)
-    named = found.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), "copies"), "q")
-    every = named.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return every.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+        whole = whole.unionByName(rest)
+    named = whole.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), "copies"), "q")
+    lists = named.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    both = F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("scores").alias("score")))
+    every = lists.select("query_id", both.alias("at", "x"))
+    return every.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
