@@ -6,13 +6,16 @@ sorted by size; each set meets the larger ones within its size band only. The bi
 bound the overlap from above, and only pairs that may still link are intersected exactly, as sorted arrays.
 
 Links are needed for their components only. Tiles where most pairs pass the bound (large groups of near copies) are
-not listed pair by pair: those that share classes are one cluster, whose sets are compared in its tasks, and a pair
-that is joined already is passed over. No pair that could join two components is left out. A tile or cluster of more
-than ``TILE`` classes is split into pairs of blocks.
+not listed pair by pair: those that share classes are one cluster. A cluster's sets are compared within blocks, then a
+few representatives of each component found, in blocks again, until a round joins nothing; so a group of m near copies
+costs about m comparisons. Tiles that then still hold two components are compared whole, in pairs of blocks, where a
+pair that is joined already is passed over: no pair that could join two components is left out. A tile of more than
+``TILE`` classes is split into pairs of blocks.
 
 Defined results: null or wordless texts have no shingle and link with nothing, each its own component; repeated rows
 are one class and come back as often; an empty table gives an empty result; other columns are ignored. Component ids
-are the least ``doc_id`` reached, nulls apart. Sets are told apart by 64-bit hashes.
+are the least ``doc_id`` reached, nulls apart. Sets are told apart by 128-bit hashes of their 64-bit shingles, and then
+numbered in a written table.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ SIGNATURES = ((768, 1024), (3072, 2048), (1 << 62, 4096))
 TILE = 2048
 #: Passing pairs a row at which a tile counts as dense.
 DENSE = 8
+#: Representatives of a component in a round.
+REPRESENTATIVES = 4
 #: Shingles counted together by a task; one that occurs in ``FREQUENT`` of every such lot's sets is reported.
 LOT, FREQUENT = 1 << 21, 6
 #: Common shingles that move to the order's end, the commonest first. It bounds what is broadcast, and only the order
@@ -112,13 +117,13 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(k1, k2, doc_id, text) -> (k1, k2, doc_id, sid, n, bits, prefix)."""
+    """(k1, k2, doc_id, text) -> (k1, k2, doc_id, d1, d2, n, bits, prefix); d1 and d2 are the set's digest."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared.value
         for b in slices(batches):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, words)
                 n = len(s)
@@ -126,15 +131,15 @@ def _prepared(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 ordered = np.concatenate([s[~late], s[late]])[: n - (percent * n + 99) // 100 + 1]
-                sid = xxhash.xxh3_64_intdigest(s.tobytes())
-                for column, x in zip(out, (sid - (1 << 64) if sid >> 63 else sid, n, signature(s).tobytes(), _signed(ordered)), strict=True):
+                digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                for column, x in zip(out, (*digest.tolist(), n, signature(s).tobytes(), _signed(ordered)), strict=True):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             made = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id")), *made], ["k1", "k2", "doc_id", "sid", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("k1", "k2", "doc_id")), *made], ["k1", "k2", "doc_id", "d1", "d2", "n", "bits", "prefix"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, sid long, n long, bits binary, prefix array<long>")
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, d1 long, d2 long, n long, bits binary, prefix array<long>")
 
 
 def _block_pairs():
@@ -245,18 +250,8 @@ def joined(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple
     return out
 
 
-def _cluster_links(dense: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) among the classes of dense tiles. Tiles that share a class are one cluster."""
-    hubs = dense.groupBy("g").agg(F.min("sid").alias("b"))
-    found = components(dense.join(hubs, "g").select(F.col("sid").alias("a"), "b"))
-    alone = dense.select("sid").distinct().join(found, F.col("sid") == F.col("id"), "left")
-    members = stored(alone.select("sid", F.coalesce("root", "sid").alias("cluster")), "join-members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"))
-    blocks = F.when(F.col("m") > TILE, F.ceil(2 * F.col("m") / F.lit(TILE)).cast("long")).otherwise(1)
-    met = members.join(sizes.select("cluster", blocks.alias("blocks")), "cluster")
-    placed = met.select("cluster", "sid", F.explode(_block_pairs()).alias("b")).select("cluster", "b.x", "b.y", "sid")
-    labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("comp"))
-    rows = placed.join(texts, "sid").join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+def _compared(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, among the rows (sid, comp, packed) of each (cluster, x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -274,6 +269,61 @@ def _cluster_links(dense: DataFrame, texts: DataFrame, roots: DataFrame, words:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _members(dense: DataFrame) -> DataFrame:
+    """(cluster, sid) of the classes of dense tiles. Tiles that share a class are one cluster."""
+    hubs = dense.groupBy("g").agg(F.min("sid").alias("b"))
+    found = components(dense.join(hubs, "g").select(F.col("sid").alias("a"), "b"))
+    alone = dense.select("sid").distinct().join(found, F.col("sid") == F.col("id"), "left")
+    return stored(alone.select("sid", F.coalesce("root", "sid").alias("cluster")), "join-members")
+
+
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the component that each class is in so far."""
+    labels = roots.select(F.col("id").alias("sid"), F.col("root").alias("comp"))
+    return members.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+
+
+def _blocks(count: str):
+    return F.when(F.col(count) > TILE, F.ceil(2 * F.col(count) / F.lit(TILE)).cast("long")).otherwise(1)
+
+
+def _with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _represented(members: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """``roots`` with the links that representatives of components have within their clusters."""
+    number = 0
+    while True:
+        labelled = stored(_labelled(members, roots), "join-labelled")
+        firsts = [F.min(F.struct(F.xxhash64("sid", F.lit(number * REPRESENTATIVES + i)), "sid"))["sid"] for i in range(REPRESENTATIVES)]
+        some = labelled.groupBy("cluster", "comp").agg(F.array_distinct(F.array(*firsts)).alias("sids"))
+        some = stored(some.select("cluster", "comp", F.explode("sids").alias("sid")), "join-representatives")
+        sizes = some.groupBy("cluster").agg(F.count("*").alias("m"), F.count_distinct("comp").alias("comps")).where("comps > 1")
+        sizes = stored(sizes.select("cluster", _blocks("m").alias("blocks")), "join-sizes")
+        most = sizes.agg(F.max("blocks")).first()[0]
+        links = None
+        if most:
+            own = F.pmod(F.xxhash64("sid", F.lit(-number - 1)), F.col("blocks"))
+            rows = some.join(sizes, "cluster").withColumns({"x": own, "y": own}).join(texts, "sid")
+            links = stored(_compared(rows, words, percent), "join-links")
+        forget(labelled, some, sizes)
+        if links is None or links.isEmpty():
+            return roots
+        roots, number = _with_links(roots, links), number + 1
+        forget(links)
+
+
+def _cluster_links(dense: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among all classes of the tiles, in pairs of blocks of a cluster."""
+    members = _members(dense)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("m")).select("cluster", _blocks("m").alias("blocks"))
+    placed = members.join(sizes, "cluster").select("cluster", "sid", F.explode(_block_pairs()).alias("b")).select("cluster", "b.x", "b.y", "sid")
+    links = stored(_compared(_labelled(placed, roots).join(texts, "sid"), words, percent), "join-links")
+    forget(members)
+    return links
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted arrays reach the threshold."""
     if not len(a) or not len(b):
@@ -322,31 +372,40 @@ def _keyed(docs: DataFrame, *more) -> DataFrame:
 def _rooted(keyed: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, k1, k2, n, root) per row: rows with the same root, a class, are one component."""
     prepared = stored(_prepared(keyed, words, percent), "join-prepared")
-    rows = stored(prepared.select("doc_id", "k1", "k2", "sid", "n"), "join-rows")
+    rows = stored(prepared.select("doc_id", "k1", "k2", "d1", "d2", "n"), "join-rows")
     first = F.min(F.struct("k1", "k2")).alias("k")
-    grouped = prepared.where("n > 0").groupBy("sid").agg(first, *[F.any_value(c).alias(c) for c in ("n", "bits", "prefix")])
-    classes = stored(grouped, "join-classes")
+    grouped = prepared.where("n > 0").groupBy("d1", "d2").agg(first, *[F.any_value(c).alias(c) for c in ("n", "bits", "prefix")])
+    classes = stored(grouped.withColumn("sid", F.monotonically_increasing_id()), "join-classes")
     forget(prepared)
     tiles = stored(_tiled(classes, percent), "join-tiles")
-    signatures = stored(classes.select("sid", "k.k1", "k.k2", "bits"), "join-signatures")
+    names = stored(classes.select("sid", "d1", "d2", "k.k1", "k.k2", "bits"), "join-names")
     forget(classes)
-    bounded = stored(_bounded(tiles.join(signatures.select("sid", "bits"), "sid"), percent), "join-bounded")
+    bounded = stored(_bounded(tiles.join(names.select("sid", "bits"), "sid"), percent), "join-bounded")
     tested = stored(bounded.where("a IS NOT NULL").select("a", "b").distinct(), "join-pairs")
     crowded = stored(bounded.where("a IS NULL").select("g").distinct(), "join-crowded")
     forget(bounded)
-    dense = stored(tiles.join(crowded, "g", "left_semi"), "join-dense")
-    forget(tiles)
+    dense = stored(tiles.select("g", "sid").join(crowded, "g", "left_semi").distinct(), "join-dense")
+    forget(tiles, crowded)
     named = tested.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(dense.select("sid")).distinct()
-    texts = stored(_texts(keyed, signatures.join(named, "sid").select("sid", "k1", "k2")), "join-texts")
+    texts = stored(_texts(keyed, names.join(named, "sid").select("sid", "k1", "k2")), "join-texts")
     links = stored(_verified(tested, texts, words, percent), "join-links")
+    forget(tested)
     roots = components(links)
     if not dense.isEmpty():
-        found = stored(_cluster_links(dense, texts, roots, words, percent), "join-links")
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found))
-    for done in (dense, signatures, texts):
-        forget(done)
-    owned = rows.join(roots.withColumnRenamed("id", "sid"), "sid", "left")
-    return stored(owned.select("doc_id", "k1", "k2", "n", F.coalesce("root", "sid").alias("root")), "join-owned")
+        members = _members(dense)
+        roots = _represented(members, texts, roots, words, percent)
+        forget(members)
+        parted = _labelled(dense, roots).groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        rest = stored(dense.join(parted.select("g"), "g", "left_semi"), "join-rest")
+        if not rest.isEmpty():
+            roots = _with_links(roots, _cluster_links(rest, texts, roots, words, percent))
+        forget(rest)
+    rooted = names.select("sid", "d1", "d2").join(roots.withColumnRenamed("id", "sid"), "sid", "left")
+    rooted = stored(rooted.select("d1", "d2", F.coalesce("root", "sid").alias("root")), "join-rooted")
+    forget(dense, names, texts, links)
+    owned = stored(rows.join(rooted, ["d1", "d2"], "left").select("doc_id", "k1", "k2", "n", "root"), "join-owned")
+    forget(rows, rooted)
+    return owned
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
