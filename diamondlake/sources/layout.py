@@ -1,8 +1,15 @@
-"""The served tree: part/year/month/day partitions, compaction, discovery, sinks."""
+"""The served tree: part/year/month/day partitions, compaction, discovery, sinks.
+
+One layout serves ``write_tree``, ``compact`` and ``read_tree``: folders ``part=D1/file_year=2024/month=05/day=01``. A
+compacted year lies in ``month=all/day=all`` of its year, a compacted month in ``day=all`` of its month, so all files
+stay at one depth and partition discovery goes on working; ``read_tree`` takes month and day of their rows from the
+file's name. Trees of plain folders (``D1/2024/05/01``) are compacted too, to a file in the year's or month's folder.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import uuid
 
@@ -11,6 +18,10 @@ from pyspark.sql import functions as F
 
 PARTS = ("D1", "Others")
 UNKNOWN = "unknown_date"
+#: The folder value of compacted rows.
+WHOLE = "all"
+#: Bytes of a compacted file, about.
+FILE_BYTES = 512 << 20
 
 
 def routed(rows: DataFrame) -> DataFrame:
@@ -31,13 +42,20 @@ def write_tree(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Partition values stay strings, as the paths have them; schemas are united by name."""
+    """Partition values stay strings, as the paths have them; schemas are united by name. Rows of compacted files have
+    the month and day of their file's name."""
+    from ..operators.fold import file_date
+
     was = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        rows = spark.read.option("mergeSchema", "true").parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", was)
+    if not {"month", "day", "file_name"} <= set(rows.columns):
+        return rows
+    named = lambda c, form: F.when(F.col(c) == WHOLE, F.date_format(file_date(F.col("file_name")), form)).otherwise(F.col(c))
+    return rows.withColumns({"month": named("month", "MM"), "day": named("day", "dd")})
 
 
 def path_level_year(path: Column) -> Column:
@@ -52,10 +70,6 @@ def unknown_dates(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("file_year") == UNKNOWN).groupBy("part").agg(F.count("*").alias("rows"))
 
 
-def is_daily(name: str) -> bool:
-    return name[:1].isdigit() or name.startswith("part-")
-
-
 class Tree:
     """Files of a tree through Hadoop's file system, so any store works."""
 
@@ -80,26 +94,77 @@ class Tree:
         top = self.Path(under)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(top) if s.isDirectory()) if self.fs.exists(top) else []
 
-    def merge(self, inputs: list[str], out: str) -> int:
-        """All inputs as one file in order of their names; counts must agree before anything is deleted."""
+    def size(self, path: str) -> int:
+        return self.fs.getFileStatus(self.Path(path)).getLen()
+
+    def replace(self, source: str, target: str) -> None:
+        """A rename that takes the place of what is there, in one step."""
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        where = self.fs.makeQualified(self.Path(target))
+        self.fs.mkdirs(where.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self.fs.makeQualified(self.Path(source)), where, options)
+
+    def merge(self, inputs: list[str], out: str, name: str) -> int:
+        """All inputs as one file ``name`` in ``out``, in order of their names, or as several of ``FILE_BYTES`` and made
+        by as many tasks. Row counts must agree before anything moves.
+
+        What will replace what is noted first, so that a run that ends anywhere after is finished by ``recover``.
+        """
         inputs = sorted(set(inputs), key=lambda p: p.rsplit("/", 1)[1])
         rows = self.spark.read.option("mergeSchema", "true").parquet(*inputs)
         places = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        stage = f"{self.root}/.stage-{uuid.uuid4().hex}"
-        places.coalesce(1).sortWithinPartitions("_file", "_row").drop("_file", "_row").write.option("compression", "zstd").parquet(stage)
+        n = max(1, -(-sum(map(self.size, inputs)) // FILE_BYTES))
+        mark = uuid.uuid4().hex
+        stage = f"{self.root}/.stage-{mark}"
+        dealt = places.coalesce(1) if n == 1 else places.repartitionByRange(n, "_file", "_row")
+        dealt.sortWithinPartitions("_file", "_row").drop("_file", "_row").write.option("compression", "zstd").parquet(stage)
         wanted, got = rows.count(), self.spark.read.parquet(stage).count()
         if wanted != got:
             self.fs.delete(self.Path(stage), True)
             raise RuntimeError(f"{out}: wrote {got} rows, expected {wanted}")
-        made = next(p for p in self.files(stage) or [s.getPath().toString() for s in self.fs.listStatus(self.Path(stage))] if p.endswith(".parquet"))
-        fresh = f"{out}.new"
-        self.fs.rename(self.Path(made), self.Path(fresh))
-        for p in inputs:
-            self.fs.delete(self.Path(p), False)
-        self.fs.rename(self.Path(fresh), self.Path(out))
-        self.fs.delete(self.Path(stage), True)
+        made = sorted(p for p in (s.getPath().toString() for s in self.fs.listStatus(self.Path(stage))) if p.endswith(".parquet"))
+        named = [f"{out}/{name}.parquet" if len(made) == 1 else f"{out}/{name}-{i:05}.parquet" for i in range(len(made))]
+        self.note(mark, {"moves": list(zip(made, named, strict=True)), "gone": inputs})
+        self.finish(mark)
         return wanted
 
+    def note(self, mark: str, plan: dict) -> None:
+        """The plan appears whole or not at all."""
+        draft = self.Path(f"{self.root}/.draft-{mark}")
+        out = self.fs.create(draft, True)
+        out.write(json.dumps(plan).encode())
+        out.close()
+        self.fs.rename(draft, self.Path(f"{self.root}/.compact-{mark}"))
+
+    def finish(self, mark: str) -> None:
+        """Does what is left of a noted plan. Every step may have been done before."""
+        noted = self.Path(f"{self.root}/.compact-{mark}")
+        stream = self.fs.open(noted)
+        plan = json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        stream.close()
+        for source, target in plan["moves"]:
+            if self.fs.exists(self.Path(source)):
+                self.replace(source, target)
+        kept = {self.fs.makeQualified(self.Path(t)).toString() for _, t in plan["moves"]}
+        for p in plan["gone"]:
+            if self.fs.makeQualified(self.Path(p)).toString() not in kept:
+                self.fs.delete(self.Path(p), False)
+        self.fs.delete(noted, False)
+        self.fs.delete(self.Path(f"{self.root}/.stage-{mark}"), True)
+
+    def recover(self) -> None:
+        """Finishes noted plans, and removes what was staged without a plan."""
+        found = [s.getPath().getName() for s in self.fs.listStatus(self.Path(self.root))] if self.fs.exists(self.Path(self.root)) else []
+        for name in found:
+            if name.startswith(".compact-"):
+                self.finish(name.removeprefix(".compact-"))
+        for name in found:
+            if name.startswith((".stage-", ".draft-")):
+                self.fs.delete(self.Path(f"{self.root}/{name}"), True)
+
     def prune(self, under: str) -> None:
         for name in self.children(under):
             self.prune(f"{under}/{name}")
@@ -107,35 +172,44 @@ class Tree:
                 self.fs.delete(self.Path(f"{under}/{name}"), False)
 
 
-def compact(spark: SparkSession, root: str, today: dt.date) -> list[tuple[str, str, int]]:
-    """Past years become one file, past months of this year one file each; the running month and later ones stay.
+def _value(folder: str, key: str) -> str:
+    return folder.removeprefix(f"{key}=")
+
 
-    Layout below ``root``: {part}/{year}/{month}/{day}/{game}.parquet.
-    """
+def compact(spark: SparkSession, root: str, today: dt.date) -> list[tuple[str, str, int]]:
+    """Past years become one file, past months of this year one file each (several where they are large); the running
+    month and later ones stay. One compaction of a tree runs at a time; it first finishes one that was cut short."""
     tree, done = Tree(spark, root), []
-    for part in PARTS:
-        for year in (y for y in tree.children(f"{root}/{part}") if y.isdigit()):
-            base = f"{root}/{part}/{year}"
-            files = tree.files(base)
-            daily = [f for f in files if is_daily(f.rsplit("/", 1)[1])]
+    tree.recover()
+    for part_folder in tree.children(root):
+        part = _value(part_folder, "part")
+        for year_folder in tree.children(f"{root}/{part_folder}") if part in PARTS else ():
+            year, base = _value(year_folder, "file_year"), f"{root}/{part_folder}/{year_folder}"
+            keyed = year_folder.startswith("file_year=")
+            if not year.isdigit():
+                continue
             rows = 0
             if int(year) < today.year:
-                out = f"{base}/{part.lower()}_{year}.parquet"
-                if files and (daily or len(files) > 1 or not files[0].endswith(f"/{part.lower()}_{year}.parquet")):
-                    rows = tree.merge(files, out)
-                    tree.prune(base)
+                name = f"{part.lower()}_{year}"
+                rows = _compacted(tree, tree.files(base), f"{base}/month={WHOLE}/day={WHOLE}" if keyed else base, name)
             elif int(year) == today.year:
-                for month in (m for m in tree.children(base) if m.isdigit() and int(m) < today.month):
-                    fresh = [f for f in daily if f"/{year}/{month}/" in f]
-                    out = f"{base}/{month}/{part.lower()}_{year}_{month}.parquet"
-                    if fresh:
-                        rows += tree.merge(fresh + [f for f in files if f.endswith(out.rsplit("/", 1)[1])], out)
-                        tree.prune(f"{base}/{month}")
+                for folder in tree.children(base):
+                    month = _value(folder, "month")
+                    if month.isdigit() and int(month) < today.month:
+                        name = f"{part.lower()}_{year}_{month}"
+                        rows += _compacted(tree, tree.files(f"{base}/{folder}"), f"{base}/{folder}/day={WHOLE}" if keyed else f"{base}/{folder}", name)
             if rows:
+                tree.prune(base)
                 done.append((part, year, rows))
     return done
 
 
+def _compacted(tree: Tree, files: list[str], out: str, name: str) -> int:
+    """Rows merged; none where all files are compacted ones already."""
+    own = re.compile(re.escape(f"/{name}") + r"(-\d{5})?\.parquet$")
+    return tree.merge(files, out, name) if any(not own.search(f) for f in files) else 0
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """A small table as one CSV with header."""
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)

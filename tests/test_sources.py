@@ -78,6 +78,68 @@ def test_compaction(spark, tmp_path):
     assert layout.compact(spark, str(tmp_path), today) == [("D1", "2023", 6)]
 
 
+GAME = "file_name string, GameUID string, Level string, Inning long, PAofInning long, PitchofPA long, PitchNo long, PitchUID string, PlayResult string, ThrowSpeed double"
+
+
+def served(spark, path):
+    games = [("20230401-a", "D1"), ("20230517-b", "D1"), ("20240301-c", "D1"), ("20240309-d", "D1"), ("20240601-e", "D1"), ("20230402-f", "JUCO"), ("x", None)]
+    rows = [(f"{n}.csv", n, lv, 1, 1, 1, i, f"{n}-{i}", "Out", None) for n, lv in games for i in range(4)]
+    layout.write_tree(layout.routed(spark.createDataFrame(rows, GAME)), path)
+    return rows
+
+
+def content(spark, path):
+    names = ["PitchUID", "part", "file_year", "month", "day"]
+    return sorted(map(str, layout.read_tree(spark, path).select(names).collect()))
+
+
+def test_the_engines_own_tree_is_compacted(spark, tmp_path):
+    tree = str(tmp_path / "tree")
+    served(spark, tree)
+    before = content(spark, tree)
+    today = dt.date(2024, 6, 15)
+    assert layout.compact(spark, tree, today) == [("D1", "2023", 8), ("D1", "2024", 8), ("Others", "2023", 4)]
+    left = sorted(str(p.relative_to(tmp_path / "tree")) for p in (tmp_path / "tree").rglob("*.parquet"))
+    assert left[:2] == ["part=D1/file_year=2023/month=all/day=all/d1_2023.parquet", "part=D1/file_year=2024/month=03/day=all/d1_2024_03.parquet"] and len(left) == 5
+    assert content(spark, tree) == before
+    assert layout.compact(spark, tree, today) == []
+    paths = spark.read.parquet(tree).select(layout.path_level_year(F.col("_metadata.file_path")).alias("x")).distinct().collect()
+    assert {tuple(r["x"]) for r in paths} >= {("D1", "2023"), ("D1", "2024"), ("Others", "2023")}
+    late = spark.createDataFrame([("20230518-late.csv", "g", "D1", 1, 1, 1, 1, "late", "Out", None)], GAME)
+    layout.write_tree(layout.routed(late), tree)
+    assert layout.compact(spark, tree, today) == [("D1", "2023", 9)] and len(content(spark, tree)) == len(before) + 1
+
+
+def test_large_years_become_several_files(spark, tmp_path, monkeypatch):
+    tree = str(tmp_path / "tree")
+    served(spark, tree)
+    before = content(spark, tree)
+    monkeypatch.setattr(layout, "FILE_BYTES", 4000)
+    layout.compact(spark, tree, dt.date(2025, 1, 1))
+    names = sorted(p.name for p in (tmp_path / "tree/part=D1/file_year=2023").rglob("*.parquet"))
+    assert len(names) > 1 and names[0] == "d1_2023-00000.parquet" and content(spark, tree) == before
+    assert layout.compact(spark, tree, dt.date(2025, 1, 1)) == []
+
+
+@pytest.mark.parametrize("step", ["note", "replace", "finish", "prune"])
+def test_a_compaction_cut_short_is_finished(spark, tmp_path, monkeypatch, step):
+    tree = str(tmp_path / "tree")
+    served(spark, tree)
+    before = content(spark, tree)
+    done = getattr(layout.Tree, step)
+
+    def cut(self, *args):
+        done(self, *args) if step == "replace" else None
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m, pytest.raises(KeyboardInterrupt):
+        m.setattr(layout.Tree, step, cut)
+        layout.compact(spark, tree, dt.date(2024, 6, 15))
+    layout.compact(spark, tree, dt.date(2024, 6, 15))
+    assert content(spark, tree) == before
+    assert not [p for p in (tmp_path / "tree").iterdir() if p.name.startswith((".stage", ".compact", ".draft"))]
+
+
 def test_tree_prunes(spark, tmp_path):
     rows = spark.createDataFrame([("20240401-a.csv", "G1", "D1", 1, 1, 1, 1, "u1", "Out", None), ("x.csv", "G2", None, 1, 1, 1, 1, "u2", "Out", None)],
         "file_name string, GameUID string, Level string, Inning long, PAofInning long, PitchofPA long, PitchNo long, PitchUID string, PlayResult string, ThrowSpeed double")
