@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import AUTO_NAMES, FAMILIES, HARD_HIT, HITS, NOT_PITCHES, STRIKES, SUB_NAMES, SWINGS, ZONE_BOTTOM, ZONE_HALF, ZONE_TOP
+from ..schema import AUTO_NAMES, FAMILIES, HARD_HIT, HITS, NOT_PITCHES, PITCH_NAMES, STRIKES, SUB_NAMES, SWINGS, ZONE_BOTTOM, ZONE_HALF, ZONE_TOP
 
 
 def tally(condition: Column) -> Column:
@@ -247,3 +247,9 @@ def spray(pitches: DataFrame, points: int = 18) -> DataFrame:
 
     spread = flown.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     return spread.select("PitchUID", "Batter", "PlayResult", "i", along(F.sin).alias("x"), along(F.cos).alias("y"))
+
+
+def display_name(tag: Column) -> Column:
+    """A tag as a pitcher's report shows it."""
+    names = F.create_map(*[F.lit(x) for kv in PITCH_NAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(names, tag), tag)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stores import Store
+
 
 def player_key(player_id: Column, name: Column) -> Column:
     """``id:`` and the id, else ``name:`` and a slug."""
@@ -69,6 +71,40 @@ def tombstone(versions: DataFrame, key: str, thread: str, now: str, next_id: int
     return rows.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col(f.name) if f.name in kept else F.lit(None).cast(f.dataType).alias(f.name) for f in versions.schema])
 
 
+#: Columns of a stored version.
+VERSION = (
+    "id long, player_key string, player_name string, player_id string, role string, school string, position string, ovr int, author string, "
+    "author_id long, body string, grades string, deleted int, created_at string, report_date string, bats_throws string"
+)
+
+
+def stored_versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions ever saved; none where nothing was."""
+    return Store(spark, path, VERSION).read().drop("seq")
+
+
+def save_version(spark: SparkSession, path: str, now: str, **fields) -> int:
+    """Appends a version of a thread and returns its id. Nothing is changed in place."""
+    store = Store(spark, path, VERSION)
+    number = (store.read().agg(F.max("id")).first()[0] or 0) + 1
+    known = fields | {"id": number, "deleted": 0, "created_at": now}
+    key = player_key(F.lit(known.get("player_id")).cast("string"), F.lit(known.get("player_name")).cast("string"))
+    row = store.rows(tuple(known.get(c.split()[0]) for c in VERSION.split(", ")))
+    store.save(row.withColumn("player_key", F.coalesce("player_key", key)))
+    return number
+
+
+def delete_thread(spark: SparkSession, path: str, key: str, thread: str, now: str) -> bool:
+    """Ends a thread with a tombstone; False where there is none."""
+    store = Store(spark, path, VERSION)
+    held = store.read().drop("seq")
+    end = tombstone(held, key, thread, now, (held.agg(F.max("id")).first()[0] or 0) + 1)
+    if end.isEmpty():
+        return False
+    store.save(spark.createDataFrame(end.collect(), VERSION))
+    return True
+
+
 GRADES = "Control int, pitches array<struct<name string, grade int>>, Hit int, Power int, Run int, Field int, Arm int"
 
 

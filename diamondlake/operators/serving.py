@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +58,24 @@ def with_conference(index: DataFrame, teams: DataFrame) -> DataFrame:
     return index.join(F.broadcast(teams.select(F.col("acronym").alias("Team"), F.col("conference").alias("Conference"))), "Team", "left")
 
 
+INDEX = ["Part", "Level", "League", "Team", "Player", "Year"]
+
+
+def load_index(pitches: DataFrame, role: str, path: str, teams: DataFrame, rebuild: bool = False) -> DataFrame:
+    """The stored index of a role with conferences; made, or made anew where it lacks a column or ``rebuild`` asks."""
+    spark = pitches.sparkSession
+    try:
+        held = None if rebuild else spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        held = None
+    if held is None or not set(INDEX) <= set(held.columns):
+        write_index(picker_index(pitches, role), path)
+        held = spark.read.parquet(path)
+    return with_conference(held, teams)
+
+
 def index_stats(index: DataFrame) -> DataFrame:
     """Rows and distinct players, teams, levels; a null counts as a value."""
     distinct = lambda c: F.countDistinct(c) + F.when(F.count_if(F.col(c).isNull()) > 0, 1).otherwise(0)
@@ -125,6 +144,11 @@ def player_rows(pitches: DataFrame, index: DataFrame, role: str, player: str, le
     return rows.select(*ROLE_COLUMNS[role], F.substring("Date", 1, 4).alias("Year"))
 
 
+def rows_of(pitches: DataFrame, index: DataFrame, role: str, player: str, level: str | None = None, team: str | None = None, years: list[str] | None = None) -> DataFrame:
+    """``player_rows`` for values as they are picked: nothing picked means all, and years count once, in order."""
+    return player_rows(pitches, index, role, player, level or ALL, team or ALL, sorted(set(years or ())) or None)
+
+
 # Overlays: tables of (PitchUID, ...) with an ingest number; the latest row of a pitch counts ---------
 
 

@@ -83,7 +83,7 @@ over_pitches(
 over_pitches(
     "shrinkage_leaderboard",
     f"""SELECT Pitcher, {n("n", "n")}, {r("m", "mean")}, {r("100 * (mu + n / (n + s2 / tau) * (m - mu))", "per_100")}
-    FROM g, t, (SELECT greatest((sum(n * (m - mu) ** 2) - (count(*) - 1) * any_value(s2)) / (sum(n) - sum(n * n) / sum(n)), 1e-12) AS tau FROM g, t) WHERE n >= 10""",
+    FROM g, t, (SELECT greatest((sum(n * (m - mu) ** 2) - (count(*) - 1) * any_value(s2)) / (sum(n) - sum(n * n) / sum(n)), 1e-12) AS tau FROM g, t) WHERE n >= 300""",
     """, rows_ AS (SELECT Pitcher, ExitSpeed AS v FROM pitches WHERE ExitSpeed IS NOT NULL), g AS (SELECT Pitcher, count(*)::DOUBLE AS n, avg(v) AS m FROM rows_ GROUP BY Pitcher),
     t AS (SELECT avg(v) AS mu, var_samp(v) AS s2 FROM rows_)""",
 )
@@ -293,7 +293,7 @@ over_pitches(
       {r("sum(exp(-0.5 * ((gx - px) ** 2 * vy - 2 * (gx - px) * (gy - py) * vxy + (gy - py) ** 2 * vx) / (det * f2))) / any_value(n * 2 * pi() * sqrt(det) * f2)", "z")}
     FROM (SELECT Level, PlateLocSide AS px, PlateLocHeight AS py FROM named WHERE loc)
     JOIN (SELECT *, vx * vy - vxy * vxy AS det, n ** (-1 / 3.0::DOUBLE) AS f2 FROM (SELECT Level, count(*)::DOUBLE AS n, var_samp(PlateLocSide) AS vx, var_samp(PlateLocHeight) AS vy, covar_samp(PlateLocSide, PlateLocHeight) AS vxy FROM named WHERE loc GROUP BY Level)) USING (Level),
-    (SELECT ix, iy, -2 + ix * 4 / 11.0::DOUBLE AS gx, 0.5::DOUBLE + iy * 4 / 11.0::DOUBLE AS gy FROM range(12) a(ix), range(12) b(iy)) GROUP BY Level, ix, iy""",
+    (SELECT ix, iy, -2 + ix * 4 / 69.0::DOUBLE AS gx, 0.5::DOUBLE + iy * 4 / 69.0::DOUBLE AS gy FROM range(70) a(ix), range(70) b(iy)) GROUP BY Level, ix, iy""",
     TYPED,
 )
 over_pitches(
@@ -301,7 +301,7 @@ over_pitches(
     f"""SELECT PitcherTeam, TaggedPitchType, {n("i", "i")}, {r("any_value(speed)", "speed")}, {r("sum(z)", "z")} FROM (
       SELECT PitcherTeam, unnest([TaggedPitchType, 'All']) AS TaggedPitchType, i, speed, exp(-0.5 * ((speed - RelSpeed) / (sd * n ** -0.2::DOUBLE)) ** 2) / (sd * n ** -0.2::DOUBLE * sqrt(2 * pi())) / al * 100 AS z
       FROM kept JOIN (SELECT PitcherTeam, TaggedPitchType, count(*)::DOUBLE AS n, stddev_samp(RelSpeed) AS sd FROM kept GROUP BY ALL HAVING count(*) >= 5 AND sd > 1e-6) USING (PitcherTeam, TaggedPitchType)
-      JOIN (SELECT PitcherTeam, count(*)::DOUBLE AS al, i, min(RelSpeed) - 3 + i * (max(RelSpeed) - min(RelSpeed) + 6) / 24 AS speed FROM kept, range(25) g(i) GROUP BY PitcherTeam, i HAVING count(*) >= 5) USING (PitcherTeam)
+      JOIN (SELECT PitcherTeam, count(*)::DOUBLE AS al, i, min(RelSpeed) - 3 + i * (max(RelSpeed) - min(RelSpeed) + 6) / 249 AS speed FROM kept, range(250) g(i) GROUP BY PitcherTeam, i HAVING count(*) >= 5) USING (PitcherTeam)
     ) GROUP BY ALL""",
     ", kept AS (SELECT * FROM pitches WHERE TaggedPitchType NOT IN ('Undefined', 'Other') AND RelSpeed IS NOT NULL)",
 )
@@ -443,7 +443,7 @@ near AS (SELECT q.id, r.label FROM e q, e r WHERE q.id % 20 = 0 QUALIFY row_numb
 SELECT id, {", ".join(r(f"(count(*) FILTER (label = {i}) + 0.5::DOUBLE) / (count(*) + 2.5::DOUBLE)", f"p_{o}") for i, o in enumerate(("Out", "Single", "Double", "Triple", "HomeRun")))} FROM near GROUP BY id
 """
 ORACLES["log_loss"] = f"SELECT l_returnflag, {r('-avg(ln((l_quantity + 1) / 52))', 'loss')} FROM lineitem GROUP BY 1"
-over_pitches("min_group_count", f"SELECT Batter, {n('count(*)', 'n')} FROM pitches GROUP BY Batter HAVING count(*) >= 40")
+over_pitches("min_group_count", f"SELECT Pitcher, {n('count(*)', 'n')} FROM pitches GROUP BY Pitcher HAVING count(*) >= 300")
 over_pitches("mirror_left", f"SELECT PitcherThrows, {r('avg(CASE WHEN PitcherThrows = $$Left$$ THEN -HorzBreak ELSE HorzBreak END)', chr(34) + 'break' + chr(34))}, {n('count(*)', 'n')} FROM pitches GROUP BY 1")
 over_pitches(
     "decision_filter",
@@ -452,3 +452,61 @@ over_pitches(
       WHERE PitchCall IN ('StrikeSwinging','FoulBallNotFieldable','FoulBallFieldable','InPlay','FoulBall','StrikeCalled','BallCalled','BallinDirt') AND BatterSide IN ('Left','Right') AND abs(PlateLocSide) <= 3
         AND PlateLocHeight BETWEEN 0 AND 5.5 AND AutoPitchType <> 'Other') GROUP BY f""",
 )
+
+# Operators that other queries use or that stand alone -------------------------------------------------
+
+DECISIONS = """(SELECT *, CASE WHEN AutoPitchType IN ('Four-Seam','Sinker') THEN 'Fastball' WHEN AutoPitchType IN ('Cutter','Slider','Curveball') THEN 'Breaking' WHEN AutoPitchType IN ('Changeup','Splitter') THEN 'Offspeed' ELSE 'Unknown' END AS family FROM {source}
+      WHERE PitchCall IN ('StrikeSwinging','FoulBallNotFieldable','FoulBallFieldable','InPlay','FoulBall','StrikeCalled','BallCalled','BallinDirt') AND BatterSide IN ('Left','Right') AND abs(PlateLocSide) <= 3
+        AND PlateLocHeight BETWEEN 0 AND 5.5 AND AutoPitchType <> 'Other')"""
+over_pitches(
+    "swing_run_values",
+    f"""SELECT family, {n("Balls", "Balls")}, {n("Strikes", "Strikes")}, {n("count(*)", "n")}, {r("avg(run_delta)", "run_value")} FROM {DECISIONS.format(source="valued")}
+    WHERE run_delta IS NOT NULL AND PitchCall IN ('StrikeSwinging','FoulBallNotFieldable','FoulBallFieldable','InPlay','FoulBall') GROUP BY ALL""",
+    MATRIX + CELLS + delta("GameUID", "pitches"),
+)
+over_pitches(
+    "calibration_bins",
+    f"""SELECT {n("b", "bin")}, {n("count(*)", "n")}, {r("avg(p)", "predicted")}, {r("avg((PitchCall = 'StrikeCalled')::INT)", "seen")}
+    FROM (SELECT *, PlateLocHeight / 5.5::DOUBLE AS p, least(floor(PlateLocHeight / 5.5::DOUBLE * 15), 14) AS b FROM {DECISIONS.format(source="pitches")}) GROUP BY b""",
+)
+over_pitches(
+    "level_names",
+    f"""SELECT {n("row_number() OVER (ORDER BY k) - 1", "place")}, level FROM (SELECT DISTINCT Level AS level, Level AS k FROM pitches WHERE Level IS NOT NULL
+    UNION ALL SELECT 'P4', 'D1 pooled' WHERE EXISTS (SELECT 1 FROM pitches WHERE League IN {POOLED}))""",
+)
+over_pitches("year_options", "SELECT DISTINCT Year FROM bindex", INDEX)
+over_pitches("conference_options", "SELECT DISTINCT conference AS Conference FROM index_ JOIN teams ON acronym = Team", INDEX)
+over_pitches("player_options", "SELECT DISTINCT Player FROM bindex", INDEX)
+ORACLES["called_strike_surface"] = surface("PitcherTeam", "PitchCall IN ('StrikeCalled', 'BallCalled')", "CASE WHEN PitchCall = 'StrikeCalled' THEN 1.0::DOUBLE ELSE 0.0 END", 100)
+ORACLES["hard_hit_surface"] = surface("PitcherTeam", "ExitSpeed IS NOT NULL", "CASE WHEN ExitSpeed >= 95 THEN 1.0::DOUBLE ELSE 0.0 END", 100)
+over_pitches("path_level_year", "SELECT DISTINCT part, file_year, part AS level, file_year AS year FROM pitches")
+over_pitches(
+    "pitch_display_names",
+    f"""SELECT TaggedPitchType, {n("count(*)", "n")}, CASE TaggedPitchType WHEN 'FourSeamFastBall' THEN 'Four-Seam' WHEN 'TwoSeamFastBall' THEN 'Two-Seam' WHEN 'ChangeUp' THEN 'Changeup' ELSE TaggedPitchType END AS shown
+    FROM pitches GROUP BY ALL""",
+)
+over_pitches("plausible_names", "SELECT DISTINCT 'Last, F' || Pitcher AS Name FROM pitches")
+ORACLES["name_resolution"] = """
+SELECT c_name AS Name, c_custkey::VARCHAR AS TrackManId, CASE WHEN c_custkey % 10 = 0 THEN 'ambiguous' WHEN c_custkey % 5 < 2 THEN 'unique' ELSE 'not_found' END AS status FROM customer
+"""
+ORACLES["report_authors"] = f"WITH {VERSIONS} SELECT trim(author) AS initials, arg_max(coalesce(author_name, trim(author)), (created_at, id)) AS name FROM live WHERE trim(coalesce(author, '')) <> '' GROUP BY trim(author)"
+over_pitches(
+    "hand_assignments",
+    f"""SELECT {n("c", "cluster")}, {n("count(*)", "n")}, {r("avg(f)", "conf")} FROM (
+      SELECT CASE WHEN PitchNo % 6 = 0 THEN 9 ELSE PitchNo % 3 END AS c, CASE WHEN PitchNo % 6 = 0 THEN 1.0::DOUBLE ELSE (PitchNo % 10) / 10.0::DOUBLE END AS f FROM pitches WHERE PitchNo % 2 = 0) GROUP BY c""",
+)
+over_pitches(
+    "cluster_summary",
+    f"""SELECT Pitcher, {n("PitchNo % 3", "cluster")}, {n("count(*)", "n")}, {r("avg(RelSpeed)", "RelSpeed")}, {r("avg(CASE WHEN PitcherThrows = 'Left' THEN -HorzBreak ELSE HorzBreak END)", "HorzBreak")}, {n("any_value(un)", "n_unclustered")}
+    FROM pitches JOIN (SELECT Pitcher, count(*) FILTER (PitchNo % 2 = 1) AS un FROM pitches GROUP BY Pitcher) USING (Pitcher) WHERE PitchNo % 2 = 0 GROUP BY Pitcher, PitchNo % 3""",
+)
+ORACLES["report_ages"] = f"""
+SELECT BirthDate, {r("round(datediff('day', BirthDate::DATE, DATE '2019-07-14') / 365.25::DOUBLE + 1e-12, 1)", "age")},
+  CASE WHEN strftime(BirthDate::DATE, '%m-%d') = '02-29' THEN make_date(year(BirthDate::DATE) + 21, 3, 1) ELSE (BirthDate::DATE + INTERVAL 21 YEAR)::DATE END <= DATE '2019-07-14' + 45 AS eligible
+FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS BirthDate FROM orders)
+"""
+over_pitches(
+    "attached_run_values",
+    f"""SELECT Level, substr(Date, 1, 4) AS year, {n("count(*)", "n")}, {n("count(*) FILTER (hit)", "scored")}, {r("max(CASE WHEN hit THEN (1.5 * 0 + 0.5 * (1 + 2 + 3 + 4)) / 3.5::DOUBLE END)", "xRV")}
+    FROM (SELECT *, Level = 'D1' AND substr(Date, 1, 4) = '{YEAR}' AND PitchCall = 'InPlay' AND ExitSpeed IS NOT NULL AND Angle IS NOT NULL AND Direction IS NOT NULL AS hit FROM pitches) GROUP BY ALL""",
+)

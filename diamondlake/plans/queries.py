@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapter import pitches
 from ..operators import bio, eye, fold, gmm, knn, reports, runs, scouting, serving, surfaces
-from ..sources import ingest
+from ..sources import ingest, layout
+from ..sources.shared import written
 
 LEVEL, YEAR = "D1", "1995"
 NUDGE = 1e-9
+#: Decisions that a batter needs for the leaderboard.
+LEAST_SCORED = 300
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -46,7 +51,7 @@ def season(p: DataFrame) -> DataFrame:
 
 @over_pitches
 def re_matrix(p):
-    return runs.re_matrix(p)
+    return runs.final_matrix(p)
 
 
 @over_pitches
@@ -89,7 +94,7 @@ def count_run_values(p):
 
 @over_pitches
 def shrinkage_leaderboard(p):
-    return runs.shrunk_scores(p, "Pitcher", "ExitSpeed").where("n >= 10").select("Pitcher", "n", "mean", "per_100")
+    return runs.shrunk_scores(p, "Pitcher", "ExitSpeed").where(F.col("n") >= LEAST_SCORED).select("Pitcher", "n", "mean", "per_100")
 
 
 @over_pitches
@@ -203,12 +208,12 @@ def batter_surfaces(p):
 
 @over_pitches
 def pitch_density_kde(p):
-    return surfaces.pitch_density(p, ["Level"], points=12)
+    return surfaces.pitch_density(p, ["Level"])
 
 
 @over_pitches
 def velocity_kde(p):
-    return surfaces.velocity_density(p, ["PitcherTeam"], points=25)
+    return surfaces.velocity_density(p, ["PitcherTeam"])
 
 
 # Serving ------------------------------------------------------------------------------------------
@@ -440,7 +445,7 @@ def validation_summary(spark, sf_dir):
 @query
 def range_quarantine(spark, sf_dir):
     rows = _checked(spark, sf_dir)
-    clean, _ = ingest.quarantine(rows, ingest.violations(rows))
+    clean = rows.join(ingest.sound_files(rows), "file_name", "left_semi")
     return clean.groupBy("file_name").agg(F.count("*").alias("n"), F.avg("RelSpeed").alias("speed"))
 
 
@@ -482,10 +487,10 @@ def knn_label_proba_all(spark, sf_dir):
 
 @over_pitches
 def expected_run_values(p):
-    """Every ball of the season scored by a model of the season."""
-    batted = runs.batted_balls(_delta(p)).drop("xRV")
+    """Every ball of the season scored by a model of the season, with the defaults of the operator."""
+    batted = written(runs.batted_balls(_delta(p)).select("PitchUID", "PlayResult", *knn.FEATURES, "run_delta"), "batted")
     weights = [r["weight"] for r in runs.linear_weights(batted).orderBy("place").collect()]
-    return knn.scored(batted, knn.fit(batted, weights, k=200)).select("PitchUID", "PlayResult", "xRV")
+    return knn.scored(batted, knn.fit(batted, weights)).select("PitchUID", "PlayResult", "xRV")
 
 
 @query
@@ -496,7 +501,7 @@ def log_loss(spark, sf_dir):
 
 @over_pitches
 def min_group_count(p):
-    return gmm.frequent(p, 40, "Batter").groupBy("Batter").agg(F.count("*").alias("n"))
+    return gmm.frequent(p).groupBy("Pitcher").agg(F.count("*").alias("n"))
 
 
 @over_pitches
@@ -506,8 +511,8 @@ def mirror_left(p):
 
 @over_pitches
 def gmm_clusters(p):
-    """Clusters of every pitcher with 300 complete rows, few starts."""
-    return gmm.clusters(gmm.eligible(p), starts=2).groupBy("Pitcher", "cluster").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"))
+    """Clusters of every pitcher with 300 complete rows."""
+    return gmm.clusters(gmm.eligible(p)).groupBy("Pitcher", "cluster").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"))
 
 
 @over_pitches
@@ -515,13 +520,127 @@ def decision_filter(p):
     return eye.decisions(p).groupBy("family").agg(F.count("*").alias("n"), F.avg("swung").alias("swung"), F.avg("called").alias("called"))
 
 
+def _valued_decisions(p):
+    """Decisions of the season with the run value of each pitch."""
+    matrix = runs.re_slice(runs.re_matrix(p), LEVEL, YEAR)
+    valued = runs.run_delta(season(p), matrix, game="GameUID").withColumnRenamed("run_delta", "run_value")
+    return eye.split(eye.decisions(valued.where("run_value IS NOT NULL")))
+
+
 @over_pitches
 def swing_scores(p):
-    """Decision scores by batter, drawn to the mean."""
-    rows = eye.split(eye.decisions(season(p)))
-    rows = eye.predicted(rows, eye.strike_model(rows, 5, 3), "p_strike")
-    rows = eye.predicted(rows, eye.swing_model(rows, 5, 3), "p_swing")
+    """Decision scores by batter, drawn to the mean, by the three models with their defaults."""
+    names = ["Batter", "GameUID", "BatterSide", "family", "Balls", "Strikes", "PlateLocHeight", "PlateLocSide", "swung", "called", "run_value", "fold"]
+    rows = written(_valued_decisions(p).select(names), "decisions")
     values = runs.count_run_values(runs.re_matrix(p).where((F.col("Level") == LEVEL) & (F.col("year") == YEAR)))
-    rows = rows.join(F.broadcast(values), ["Balls", "Strikes"], "left")
-    take = eye.take_value(F.col("p_strike"), F.col("rv_strike"), F.col("rv_ball"))
-    return runs.shrunk_scores(rows.withColumn("score", eye.score(F.col("swung"), F.col("p_swing"), F.coalesce("xRV", F.lit(0.0)), take)))
+    return runs.shrunk_scores(eye.scored_decisions(rows, values))
+
+
+@over_pitches
+def swing_run_values(p):
+    """What the models of a swing's value learn from: mean run value of swings by count and family."""
+    rows = _valued_decisions(p).where("swung = 1")
+    return rows.groupBy("family", "Balls", "Strikes").agg(F.count("*").alias("n"), F.avg("run_value").alias("run_value"))
+
+
+@over_pitches
+def calibration_bins(p):
+    """Called strikes by the height of the pitch, as a stand-in for a model's probability."""
+    rows = eye.decisions(p).withColumn("p", F.col("PlateLocHeight") / 5.5)
+    return eye.calibration(rows, "p", "called")
+
+
+# Operators that other queries use or that stand alone -------------------------------------------------
+
+
+@over_pitches
+def level_names(p):
+    names = serving.levels(serving.picker_index(p, "pitcher"))
+    return p.sparkSession.createDataFrame(list(enumerate(names)), "place long, level string")
+
+
+@over_pitches
+def year_options(p):
+    return serving.options(serving.picker_index(p, "batter"), "Year", descending=True)
+
+
+@query
+def conference_options(spark, sf_dir):
+    return serving.options(serving.with_conference(serving.picker_index(pitches(spark, sf_dir), "pitcher"), _teams(spark, sf_dir)), "Conference")
+
+
+@over_pitches
+def player_options(p):
+    return serving.options(serving.picker_index(p, "batter"), "Player")
+
+
+@over_pitches
+def called_strike_surface(p):
+    return surfaces.surfaces(p, ["PitcherTeam"], ["called_strike"]).drop("stat")
+
+
+@over_pitches
+def hard_hit_surface(p):
+    return surfaces.surfaces(p, ["PitcherTeam"], ["hard_hit"]).drop("stat")
+
+
+@over_pitches
+def path_level_year(p):
+    """Level and year of the files that the pitches lie in."""
+    at = layout.path_level_year(F.concat(F.lit("/tree/part="), "part", F.lit("/file_year="), "file_year", F.lit("/month=05/x.parquet")))
+    return p.select("part", "file_year", at.alias("at")).distinct().select("part", "file_year", "at.level", "at.year")
+
+
+@over_pitches
+def pitch_display_names(p):
+    return p.groupBy("TaggedPitchType").agg(F.count("*").alias("n")).withColumn("shown", reports.display_name(F.col("TaggedPitchType")))
+
+
+@over_pitches
+def plausible_names(p):
+    names = p.select(F.col("Pitcher").alias("Name")).distinct()
+    both = names.unionByName(names.select(F.concat(F.lit("Last, F"), F.col("Name")).alias("Name")))
+    return bio.plausible(both)
+
+
+@query
+def name_resolution(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("Name"), F.col("c_custkey").cast("string").alias("TrackManId"), "c_custkey")
+    fitting = c.where("c_custkey % 5 < 2").unionByName(c.where("c_custkey % 10 = 0"))
+    return bio.resolution(c, fitting)
+
+
+@query
+def report_authors(spark, sf_dir):
+    return scouting.report_authors(scouting.latest_threads(_versions(spark, sf_dir), _authors(spark)))
+
+
+@over_pitches
+def hand_assignments(p):
+    moved = p.where(F.col("PitchNo") % 6 == 0).select("PitchUID", F.lit(9).alias("cluster"), F.lit(1).alias("seq"))
+    return serving.hand_assigned(_assigned(p), moved).groupBy("cluster").agg(F.count("*").alias("n"), F.avg("conf").alias("conf"))
+
+
+@over_pitches
+def cluster_summary(p):
+    """Means and sizes of clusters, and the rows that have none, with clusters given by pitch number."""
+    found = p.join(_assigned(p), "PitchUID").select("Pitcher", "PitchUID", "cluster")
+    left = gmm.unclustered(p, found)
+    return gmm.cluster_means(p, found, ["RelSpeed", "HorzBreak"]).join(left, "Pitcher")
+
+
+@query
+def report_ages(spark, sf_dir):
+    """Age and eligibility on the draft day of a report's only season."""
+    days = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("BirthDate")).distinct()
+    return bio.profile(days, [2019], dt.date(2026, 1, 1))
+
+
+@over_pitches
+def attached_run_values(p):
+    """Which balls in play a stored model of one level and year scores."""
+    from ..operators.knn import Model
+
+    one = Model(np.zeros(3), np.ones(3), np.zeros((1, 3)), np.zeros(1, int), np.arange(5.0), 1, 0.5)
+    rows = knn.attach(p, {("D1", YEAR): one}, serving.model_key(None, None, None))
+    return rows.groupBy("Level", F.substring("Date", 1, 4).alias("year")).agg(F.count("*").alias("n"), F.count("xRV").alias("scored"), F.max("xRV").alias("xRV"))

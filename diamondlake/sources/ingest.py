@@ -110,6 +110,12 @@ def quarantine(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     return rows.join(bad, FILE, "left_anti"), bad
 
 
+def sound_files(rows: DataFrame) -> DataFrame:
+    """The files without any failure. A file is one partial sum of its failed rows, so its rows do not move."""
+    failed = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, _, bad in checks(rows.columns)], F.lit(False))
+    return rows.groupBy(FILE).agg(F.max(failed).alias("failed")).where("NOT failed").select(FILE)
+
+
 def ingest(spark: SparkSession, path: str | list[str], ledger: DataFrame | None = None) -> dict[str, DataFrame]:
     """Files under ``path`` that the ledger lacks: clean rows, failures, cast failures, and one status a file."""
     raw = read_raw(spark, path)
