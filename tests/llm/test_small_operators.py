@@ -364,14 +364,14 @@ def test_encoder_falls_back(tmp_path):
     assert packing.encoder(path)("Some Words").tolist() == Tokenizer.from_file(path).encode("Some Words", add_special_tokens=False).ids
 
 
-def check_pieces(rows, texts, window=packing.WINDOW):
+def check_pieces(rows, texts, window=packing.WINDOW, names=None):
     slow = Tokenizer.from_file(BPE)
     ids = [np.array([*slow.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts]
     fill, seen = {}, {}
     for r in rows:
         seen.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
         fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for i, own in enumerate(ids):
+    for i, own in zip(names or range(len(ids)), ids, strict=True):
         at = 0
         for start, length, crc, total in sorted(seen[i]):
             assert start == at and total == len(own) and length > 0 and crc == zlib.crc32(own[start : start + length].tobytes())
