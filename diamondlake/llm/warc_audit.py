@@ -7,13 +7,17 @@ roots, and only the children of nodes that differ are compared next, down to the
 Defined results: null fields of a page count as empty; equal records are one entry with their number of copies, so a
 record repeated without end is still one row; empty tables, or equal replicas, give an empty result; columns beyond
 those named are ignored; a record of any length is one entry in the range where it starts. In ``page_records`` ties
-cannot occur: entries of an archive are ordered by page and digest, and equal ones are merged.
+cannot occur: entries of an archive are ordered by page and digest, and equal ones are merged. Records are compared by
+archive and offset: a replica that lost a record and closed the gap differs from there to the archive's end, and is
+reported so. ``index_warc`` holds a packed file and its unpacked form in one worker, so files go up to 2 GB, the most
+that Spark hands over whole.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import stored, table
+from .common import forget, stored, table
 
 RANGE_BYTES = 1 << 16
 FANOUT = 16
@@ -105,9 +109,8 @@ def _nodes(index: DataFrame) -> list[DataFrame]:
     ranges = F.floor(F.col("offset") / RANGE_BYTES).cast("long")
     found = [stored(hashed(index, ranges, "offset", "length", "copies", "digest"), "merkle-ranges")]
     for _ in range(LEVELS - 1):
-        found.append(hashed(found[-1], F.floor(F.col("node") / FANOUT).cast("long"), "node", "hash"))
-    found.append(hashed(found[-1], F.lit(0).cast("long"), "node", "hash"))
-    return found
+        found.append(stored(hashed(found[-1], F.floor(F.col("node") / FANOUT).cast("long"), "node", "hash"), "merkle-nodes"))
+    return [*found, stored(hashed(found[-1], F.lit(0).cast("long"), "node", "hash"), "merkle-roots")]
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -124,13 +127,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         both = a.withColumnRenamed("hash", "left_hash").join(b.withColumnRenamed("hash", "right_hash"), ["archive", "node"], "full_outer")
         return both.where(~F.col("left_hash").eqNullSafe(F.col("right_hash"))).select("archive", "node")
 
-    open_ = differing(trees[0][-1], trees[1][-1])
+    open_ = stored(differing(trees[0][-1], trees[1][-1]), "merkle-open")
     for level in reversed(range(LEVELS)):
         up = F.lit(0).cast("long") if level == LEVELS - 1 else F.floor(F.col("node") / FANOUT).cast("long")
         above = open_.select("archive", F.col("node").alias("up"))
         below = [t[level].withColumn("up", up).join(above, ["archive", "up"], "left_semi").drop("up") for t in trees]
-        open_ = differing(*below)
-    open_ = stored(open_, "merkle-open")
+        last, open_ = open_, stored(differing(*below), "merkle-open")
+        forget(last)
+    forget(*itertools.chain(*trees))
     within = [
         s.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES).cast("long")).join(open_, ["archive", "node"], "left_semi").drop("node")
         for s in sides
