@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,19 +20,21 @@ def scratch(spark: SparkSession, label: str) -> str:
     return fresh(spark, label)
 
 
+#: Spark's own switch: an execution's shuffle files go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no replay.
-
-    Spark removes shuffle files once the driver's garbage collector finds nothing that needs them; it is called here,
-    so that a plan of many steps holds the disk of one.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    The write's shuffle files go with it, so that a plan of many steps holds the disk of one."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    was = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
