@@ -84,6 +84,13 @@ def signatures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "s_result string, s_walk string, s_hbp boolean, s_outs int, s_runs int, s_guess boolean, moves array<int>")
 
 
+#: Columns that ``annotate`` needs; others are carried along.
+READS = [
+    "file_name", "GameUID", "PitchUID", "Level", "Inning", "Top/Bottom", "PAofInning", "PitchofPA", "PitchNo", "Outs", "Balls", "Strikes", "PitchCall", "PlayResult",
+    "KorBB", "OutsOnPlay", "RunsScored", "ThrowSpeed",
+]
+
+
 def postseason_start(year: Column) -> Column:
     """The Friday after the last Monday of May."""
     return F.date_add(F.next_day(F.date_sub(F.make_date(year, F.lit(5), F.lit(31)), 7), "Mon"), 4)

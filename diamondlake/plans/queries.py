@@ -108,7 +108,8 @@ def season_correlation(p):
 
 @over_pitches
 def base_state_fold(p):
-    return fold.annotate(p).select("PitchUID", "on_1b", "on_2b", "on_3b", "base_state", "re288_state")
+    """Only the columns that the fold reads go into its arrays."""
+    return fold.annotate(p.select(*fold.READS)).select("PitchUID", "on_1b", "on_2b", "on_3b", "base_state", "re288_state")
 
 
 @over_pitches
