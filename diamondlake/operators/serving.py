@@ -195,8 +195,17 @@ def hand_assigned(assigned: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("PitchUID", F.coalesce("_to", "cluster").alias("cluster"), F.when(F.col("_to").isNotNull(), 1.0).otherwise(F.col("conf")).alias("conf"))
 
 
+AUTO = "Auto"
+
+
+def environment(choice: str | None) -> str | None:
+    """A picked run environment; the automatic one leaves it to each ball."""
+    return None if choice in (None, "", AUTO) else choice
+
+
 def model_key(level_override: str | None, year_override: str | None, selected: str | None) -> list[Column]:
     """Which model scores a ball: the chosen one, else the pooled one where that is selected, else its own."""
+    level_override, year_override = environment(level_override), environment(year_override)
     level = F.lit(level_override) if level_override else F.lit(POOLED_LEVEL) if selected == POOLED_LEVEL else F.col("Level")
     year = F.lit(year_override) if year_override else F.substring("Date", 1, 4)
     return [level.alias("model_level"), year.alias("model_year")]

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from ..schema import COLUMNS, DOMAINS, OPTIONAL, PITCH, RANGES, REMAP, REQUIRED, type_of
 
 FILE = "file_name"
-HEADER_BYTES = 1 << 16
 
 
 def header_groups(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """(columns, files) for each distinct header. Reading files of different headers together would map by position."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
-    text = F.decode(F.substring("content", 1, HEADER_BYTES), "UTF-8")
-    line = F.regexp_replace(F.regexp_extract(text, r"^\x{FEFF}?([^\r\n]*)", 1), '"', "")
-    found = files.select("path", line.alias("header")).groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    """(columns, files) for each distinct header. Reading files of different headers together would map by position.
+
+    Files are read as lines, so none has to fit anywhere; a task keeps the first line of each of its files.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(path)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("block"))
+    heads = first.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    header = F.regexp_replace(F.regexp_replace("line", r"^\x{FEFF}", ""), '"', "")
+    found = heads.select("path", header.alias("header")).groupBy("header").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     return [(r["header"].split(","), r["paths"]) for r in found.orderBy("header").collect() if r["header"]]
 
 

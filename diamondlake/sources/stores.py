@@ -124,3 +124,13 @@ class Clusters:
 
         found = self.assignments(pitcher)
         return pitches if found is None else cluster_view(pitches, found, self.labels(pitcher))
+
+
+def retag_selection(retags: Retags, clusters: Clusters, pitcher: str, pitches: list[str], choice: str | int | None) -> str:
+    """A selection of pitches under a new label: the cluster of that number where the pitcher is clustered, else a tag
+    (none takes the tag back). Returns which of the two changed."""
+    if clusters.current(pitcher) is not None:
+        clusters.move(pitcher, pitches, int(choice))
+        return "cluster"
+    retags.set(pitches, choice, pitcher)
+    return "tag"

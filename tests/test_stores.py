@@ -11,7 +11,7 @@ from diamondlake.adapter import pitches
 from diamondlake.operators import bio, eye, gmm, runs, scouting, serving
 from diamondlake.plans import stages
 from diamondlake.sources import shared
-from diamondlake.sources.stores import Clusters, Retags
+from diamondlake.sources.stores import Clusters, Retags, retag_selection
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,8 +47,17 @@ def test_cluster_runs_names_and_moves(spark, tmp_path):
     assert "Riser" in shown and shown <= {"Riser", serving.UNCLUSTERED, *(f"Cluster {i}" for i in range(6))}
     store.run(rows, name, starts=1)
     assert store.labels(name).count() == 0 and store.reviewed(name).count() == 0
+    tags = Retags(spark, str(tmp_path))
+    assert retag_selection(tags, store, name, [one["PitchUID"]], 0) == "cluster" and tags.live().count() == 0
     store.clear(name)
     assert store.current(name) is None
+    assert retag_selection(tags, store, name, [one["PitchUID"]], "Slider") == "tag" and tags.live().count() == 1
+
+
+def test_the_automatic_environment_is_each_balls_own(spark):
+    rows = spark.createDataFrame([("D1", "2024-05-01")], "Level string, Date string")
+    shown = lambda *picked: tuple(rows.select(*serving.model_key(*picked, None)).first())
+    assert shown("Auto", "") == ("D1", "2024") and shown("JUCO", "2023") == ("JUCO", "2023")
 
 
 def test_scouting_versions(spark, tmp_path):
