@@ -9,16 +9,17 @@ record repeated without end is still one row; empty tables, or equal replicas, g
 those named are ignored; a record of any length is one entry in the range where it starts. In ``page_records`` ties
 cannot occur: entries of an archive are ordered by page and digest, and equal ones are merged. Records are compared by
 archive and offset: a replica that lost a record and closed the gap differs from there to the archive's end, and is
-reported so. ``index_warc`` holds a packed file and its unpacked form in one worker, so files go up to 2 GB, the most
-that Spark hands over whole.
+reported so. ``index_warc`` unpacks a file a piece at a time, and holds it packed, as Spark hands it over: up to 2 GB.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import itertools
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ from .common import forget, stored, table
 RANGE_BYTES = 1 << 16
 FANOUT = 16
 LEVELS = 3
+#: Bytes of an archive read at once, and of a record's header at most.
+CHUNK, HEADER = 1 << 20, 1 << 20
 ARCHIVE_BYTES = 1 << 26
 INDEX = "archive string, offset long, length long, copies long, digest string"
 
@@ -40,32 +43,70 @@ def index_warc(spark, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path"), b.column("content"), strict=True):
-                data = content.as_py()
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(name.as_py(), at, n, 1, hashlib.sha256(data[at : at + n]).hexdigest()) for at, n in records(data)]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)],
-                    ["archive", "offset", "length", "copies", "digest"],
-                )
+                packed = io.BytesIO(content.as_buffer())
+                stream = gzip.GzipFile(fileobj=packed) if packed.getbuffer()[:2] == b"\x1f\x8b" else packed
+                found = records(stream)
+                while rows := list(itertools.islice(found, 4096)):
+                    columns = [[name.as_py()] * len(rows), *zip(*rows, strict=True)]
+                    at, length, digest = columns[1:]
+                    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+                    made = [pa.array(c, t) for c, t in zip((columns[0], at, length, [1] * len(rows), digest), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(made, ["archive", "offset", "length", "copies", "digest"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, INDEX)
 
 
-def records(data: bytes) -> Iterator[tuple[int, int]]:
-    """(offset, length) of each record. A damaged header ends its record at the next version line, or the end."""
+def _until(stream: BinaryIO, mark: bytes, most: int | None = None) -> int:
+    """Bytes from the stream's place up to the mark's start; -1 where it does not come, or not within ``most``."""
+    tail, read = b"", 0
+    while most is None or read < most:
+        chunk = stream.read(CHUNK if most is None else min(CHUNK, most - read))
+        if not chunk:
+            break
+        found = (tail + chunk).find(mark)
+        if found >= 0:
+            return read - len(tail) + found
+        read += len(chunk)
+        tail = (tail + chunk)[-len(mark) + 1 :]
+    return -1
+
+
+def _digest(stream: BinaryIO, at: int, size: int) -> str | None:
+    """SHA-256 of ``size`` bytes from ``at``; None where the stream ends before."""
+    stream.seek(at)
+    said = hashlib.sha256()
+    while size:
+        chunk = stream.read(min(CHUNK, size))
+        if not chunk:
+            return None
+        said.update(chunk)
+        size -= len(chunk)
+    return said.hexdigest()
+
+
+def records(stream: BinaryIO) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, digest) of each record, read a piece at a time. A damaged header ends its record at the next
+    version line, or the end; so does a length that the file does not hold."""
     at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        fields = data[at : max(head, at)].split(b"\r\n")
+    while True:
+        stream.seek(at)
+        head = _until(stream, b"\r\n\r\n", HEADER)
+        stream.seek(at)
+        fields = stream.read(head if head >= 0 else HEADER).split(b"\r\n")
+        if fields == [b""] and not stream.read(1):
+            return
         size = next((f.split(b":", 1)[1].strip() for f in fields if f.lower().startswith(b"content-length:")), b"")
-        end = head + 8 + int(size) if head >= 0 and size.isdigit() else -1
-        if end < 0 or end > len(data):
-            end = data.find(b"\r\n\r\nWARC/", at + 1)
-            end = end + 4 if end >= 0 else len(data)
-        yield at, end - at
-        at = end
+        length = head + 8 + int(size) if head >= 0 and size.isdigit() else 0
+        digest = _digest(stream, at, length) if length else None
+        if digest is None:
+            stream.seek(at + 1)
+            gap = _until(stream, b"\r\n\r\nWARC/")
+            end = at + 1 + gap + 4 if gap >= 0 else stream.seek(0, io.SEEK_END)
+            length = end - at
+            digest = _digest(stream, at, length)
+        yield at, length, digest
+        at += length
 
 
 def page_records(pages: DataFrame, replica: Column | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:

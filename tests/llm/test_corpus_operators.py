@@ -5,9 +5,11 @@ from __future__ import annotations
 import collections
 import gzip
 import hashlib
+import io
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -40,6 +42,27 @@ def test_warc_files(spark, tmp_path):
     assert len(rows["torn.warc"]) == 2 and not rows["none.warc"]
 
 
+def test_a_large_archive_is_read_in_pieces():
+    bodies = [b"x" * 60_000_000, b"", b"y" * 100]
+    packed = gzip.compress(b"".join(map(record, bodies)), 1)
+    tracemalloc.start()
+    rows = list(warc_audit.records(gzip.GzipFile(fileobj=io.BytesIO(packed))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [n for _, n, _ in rows] == [len(record(b)) for b in bodies] and peak < 20 << 20
+    assert [d for *_, d in rows] == [hashlib.sha256(record(b)).hexdigest() for b in bodies]
+
+
+@pytest.mark.parametrize("cut", [0, 1, 7, 40, 100, 180, 400])
+def test_damaged_archives(cut):
+    """Every byte is in one record, whatever was cut out or written over."""
+    whole = b"".join(record(b) for b in (b"one" * 20, b"two" * 30, b"\r\n\r\nWARC/1.1\r\nnested", b"four" * 9))
+    for raw in (whole[:cut] + whole[cut + 30 :], whole[:cut] + b"#" * 30 + whole[cut + 30 :], whole[:cut]):
+        rows = list(warc_audit.records(io.BytesIO(raw)))
+        assert [r[0] for r in rows] == [sum(n for _, n, _ in rows[:i]) for i in range(len(rows))] and sum(n for _, n, _ in rows) == len(raw)
+        assert all(hashlib.sha256(raw[at : at + n]).hexdigest() == d for at, n, d in rows)
+
+
 def test_audit_equals_full_compare(spark):
     rng = random.Random(1)
     rows, other, want = [], [], set()
