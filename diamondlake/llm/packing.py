@@ -218,45 +218,58 @@ def width(path: str) -> str:
 
 
 def _encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
-    """(doc_id, ids, place): a document's ids with the end id, as numbers of the given kind, and a number of its row.
-    It is written, so a task that runs again finds the same numbers."""
+    """(doc_id, ids, place, counts): a document's ids with the end id, as numbers of the given kind, and a number of its
+    row. It is written, so a task that runs again finds the same numbers. Each task adds one row of ``counts``: in how
+    many of its documents each id occurs (64-bit numbers), then its documents and their ids without the end ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        df = np.zeros(0, np.int64)
+        n = total = 0
+
+        def made(names: pa.Array, ids: list[bytes | None], counts: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names, pa.array(ids, pa.binary()), pa.array([counts] * len(ids))], ["doc_id", "ids", "counts"])
+
         for b in slices(batches):
-            ids = [np.append(encode(t), np.uint32(END_ID)).astype(kind).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            held = []
+            for text in b.column("text").to_pylist():
+                ids = encode(text)
+                seen = np.unique(ids)
+                if len(seen) and seen[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(seen[-1]) + 1 - len(df), np.int64)])
+                df[seen] += 1
+                n += 1
+                total += len(ids)
+                held.append(np.append(ids, np.uint32(END_ID)).astype(kind).tobytes())
+            yield made(b.column("doc_id"), held, False)
+        yield made(pa.nulls(1, pa.int64()), [np.append(df, [n, total]).tobytes()], True)
 
     rows = docs.select(F.expr("try_cast(doc_id AS bigint)").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary").withColumn("place", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id long, ids binary, counts boolean").withColumn("place", F.monotonically_increasing_id())
 
 
-def _corpus(encoded: DataFrame, kind: str) -> Corpus:
-    """What reaches the driver has a row for each id of the vocabulary at most."""
+def _corpus(counts: DataFrame) -> Corpus:
+    """The tasks' counts as one. What reaches the driver has a row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(0, np.int64)
-        n = total = 0
+        df = np.zeros(2, np.int64)
         for b in batches:
             for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw, kind)[:-1]
-                n += 1
-                total += len(ids)
-                if not len(ids):
-                    continue
-                ids = np.unique(ids)
-                if ids[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
-                df[ids] += 1
-        some = np.flatnonzero(df)
-        terms, counts = np.append(some, [-1, -2]), np.append(df[some], [n, total])
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], ["term", "n"])
-
-    rows = encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    counts = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
-    n, total = counts.pop(-1, 0), counts.pop(-2, 0)
-    df = np.zeros(max(counts, default=-1) + 1, np.int64)
-    df[list(counts)] = list(counts.values())
+                own = np.frombuffer(raw, np.int64)
+                wide = np.zeros(max(len(df), len(own)), np.int64)
+                for x in (df, own):
+                    wide[: len(x) - 2] += x[:-2]
+                    wide[-2:] += x[-2:]
+                df = wide
+        some = np.flatnonzero(df[:-2])
+        terms, sums = np.append(some, [-1, -2]), np.append(df[some], df[-2:])
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(sums)], ["term", "n"])
+
+    rows = counts.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    sums = dict(zip(rows["term"].tolist(), rows["n"].tolist(), strict=True))
+    n, total = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(max(sums, default=-1) + 1, np.int64)
+    df[list(sums)] = list(sums.values())
     return Corpus(n, total / max(n, 1), df)
 
 
@@ -272,8 +285,8 @@ def name(ids: np.ndarray, corpus: Corpus) -> bytes:
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """One row per piece (``PIECES``). ``sequence_id`` holds the task's number in its upper 32 bits."""
     spark, kind = docs.sparkSession, width(tokenizer)
-    encoded = stored(_encoded(docs, tokenizer, kind), "packing-ids")
-    shared = spark.sparkContext.broadcast(_corpus(encoded, kind))
+    encoded = stored(_encoded(docs, tokenizer, kind), "packing-ids", "counts")
+    shared = spark.sparkContext.broadcast(_corpus(encoded.where("counts")))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus = shared.value
@@ -309,7 +322,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_ids: int =
         yield from written(packer.add(held))
         yield from written(packer.rest())
 
-    rows = encoded.mapInArrow(named, "doc_id long, ids binary, place long, name binary")
+    rows = encoded.where("NOT counts").select("doc_id", "ids", "place").mapInArrow(named, "doc_id long, ids binary, place long, name binary")
     # The row's place keeps a name that many rows share from filling one task.
     dealt = rows.repartitionByRange("name", "place").sortWithinPartitions("name", "place")
     return dealt.select("doc_id", "ids").mapInArrow(fill, PIECES)
