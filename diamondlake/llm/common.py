@@ -24,17 +24,22 @@ def scratch(spark: SparkSession, label: str) -> str:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str, *folders: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no replay.
-    The write's shuffle files go with it, so that a plan of many steps holds the disk of one. Filters on the columns
-    ``folders`` read only the files that they need."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+def write(df: DataFrame, path: str, *folders: str, mode: str = "error") -> None:
+    """``df`` as Parquet. The write's shuffle files go with it, so that a plan of many steps holds the disk of one."""
+    spark = df.sparkSession
     was = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
+        (df.write.partitionBy(*folders) if folders else df.write).mode(mode).parquet(path)
     finally:
         spark.conf.set(CLEAN, was)
+
+
+def stored(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, so a lost executor costs no replay.
+    Filters on the columns ``folders`` read only the files that they need."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    write(df, path, *folders)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

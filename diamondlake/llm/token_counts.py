@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, write
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_bytes long, n_tokens long"
 #: Characters handed to the library at once; a longer text goes alone.
@@ -101,9 +101,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     known = _read_cache(spark, cache, version)
     distinct = keyed.groupBy("digest").agg(F.any_value("content").alias("content"), F.any_value("n_bytes").alias("n_bytes"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
-    encode_counts(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens").write.mode(
-        "append"
-    ).parquet(cache)
+    fresh = encode_counts(misses, path).select(F.lit(version).alias("tokenizer"), "digest", "n_bytes", "n_tokens")
+    write(fresh, cache, mode="append")
     counts = _read_cache(spark, cache, version)
     return keyed.select("doc_id", "digest", "n_bytes").join(counts, "digest", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
