@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from diamondlake.llm.common import remove, scratch
+from diamondlake.llm.common import remove, scratch, write
 from diamondlake.llm.decontamination import without_leaks
 from diamondlake.llm.language_id import identified
 from diamondlake.llm.ngram_join import one_of_each
@@ -60,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)
