@@ -439,7 +439,7 @@ over_pitches(
 )
 ORACLES["knn_label_proba"] = f"""
 WITH e AS (SELECT vec_id AS id, label % 5 AS label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
-near AS (SELECT q.id, r.label FROM e q, e r WHERE q.id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY (q.a - r.a) ** 2 + (q.b - r.b) ** 2 + (q.c - r.c) ** 2, r.id) <= 5)
+near AS (SELECT q.id, r.label FROM e q, e r QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY (q.a - r.a) ** 2 + (q.b - r.b) ** 2 + (q.c - r.c) ** 2, r.id) <= 5)
 SELECT id, {", ".join(r(f"(count(*) FILTER (label = {i}) + 0.5::DOUBLE) / (count(*) + 2.5::DOUBLE)", f"p_{o}") for i, o in enumerate(("Out", "Single", "Double", "Triple", "HomeRun")))} FROM near GROUP BY id
 """
 ORACLES["log_loss"] = f"SELECT l_returnflag, {r('-avg(ln((l_quantity + 1) / 52))', 'loss')} FROM lineitem GROUP BY 1"

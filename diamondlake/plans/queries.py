@@ -474,14 +474,7 @@ def _vectors(spark, sf_dir):
 
 @query
 def knn_label_proba(spark, sf_dir):
-    """The kNN kernel on the query set that the SQL states, every twentieth id, so that a join can check it."""
-    e = _vectors(spark, sf_dir)
-    return knn.label_proba(e, e.where("id % 20 = 0"), 5, 0.5)
-
-
-@query
-def knn_label_proba_all(spark, sf_dir):
-    """Five nearest vectors' labels for each vector, by the kNN kernel on three components; shares of five labels."""
+    """Shares of five labels among the five nearest vectors of each vector, by the kNN kernel on three components."""
     e = _vectors(spark, sf_dir)
     return knn.label_proba(e, e, 5, 0.5)
 
