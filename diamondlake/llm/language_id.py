@@ -152,6 +152,8 @@ def train(labelled: DataFrame, at_once: int = LABELS) -> list[Part]:
 def log_joint(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     """[text, label]: log prior and log probability of all n-grams of the text."""
     total = np.repeat(matrix[-1][None, :], len(texts), axis=0)
+    if not matrix.shape[1]:
+        return total
     step = max(1, CELLS // matrix.shape[1])
     for points, owner, starts, own in blocks(texts):
         whole = np.repeat(owner, np.diff(starts))
@@ -164,23 +166,17 @@ def log_joint(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     return total
 
 
-def _lettered(text: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in parts:
-            yield some.map(lambda t: any(map(str.isalpha, t))).astype(bool)
+STATE = "best double, label string, every double, wanted double, lettered boolean"
 
-    return run(text)
 
-
-STATE = "best double, label string, every double, wanted double"
-
-
-def _joined(state: pd.DataFrame | None, labels: list[str], joint: np.ndarray, wanted: frozenset[str]) -> pd.DataFrame:
+def _joined(state: pd.DataFrame | None, texts: list[str], labels: list[str], joint: np.ndarray, wanted: frozenset[str]) -> pd.DataFrame:
     """The best label and log sums over all labels and the wanted ones, of this part and those before it."""
     if state is None:
         low = np.full(len(joint), -np.inf)
-        state = pd.DataFrame({"best": low, "label": None, "every": low, "wanted": low})
+        lettered = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+        state = pd.DataFrame({"best": low, "label": None, "every": low, "wanted": low, "lettered": lettered})
+    if not labels:
+        return state
     at = joint.argmax(axis=1)
     top = joint[np.arange(len(joint)), at]
     better = top > state["best"].to_numpy(float)
@@ -192,6 +188,7 @@ def _joined(state: pd.DataFrame | None, labels: list[str], joint: np.ndarray, wa
             "label": np.where(better, np.array(labels, object)[at], state["label"].to_numpy(object)),
             "every": np.logaddexp(state["every"].to_numpy(float), over(joint)),
             "wanted": np.logaddexp(state["wanted"].to_numpy(float), over(joint[:, mine])),
+            "lettered": state["lettered"].to_numpy(bool),
         }
     )
 
@@ -204,8 +201,9 @@ def _part_scores(spark, part: Part, wanted: frozenset[str], first: bool):
         found = []
         for lo in range(0, len(text), 512):
             own = slice(lo, lo + 512)
-            found.append(_joined(None if state is None else state.iloc[own], labels, log_joint(text.iloc[own].tolist(), matrix), wanted))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"best": [], "label": [], "every": [], "wanted": []})
+            texts = text.iloc[own].tolist()
+            found.append(_joined(None if state is None else state.iloc[own], texts, labels, log_joint(texts, matrix), wanted))
+        return pd.concat(found, ignore_index=True) if found else _joined(None, [], [], np.zeros((0, 0)), wanted)
 
     if first:
 
@@ -230,18 +228,17 @@ def with_language(docs: DataFrame, model: list[Part], into: str, wanted: tuple[s
     named = frozenset(wanted)
     known = any(x in named for labels, _ in model for x in labels)
     state = unused_name([*docs.columns, into], "state")
-    for i, part in enumerate(model):
+    # A model of nothing is one part without labels.
+    parts = model or [([], np.zeros((BUCKETS + 1, 0)))]
+    for i, part in enumerate(parts):
         run = _part_scores(spark, part, named, not i)
         docs = docs.withColumn(state, run(text) if not i else run(text, F.col(state)))
-        docs = stored(docs, "language-part") if i + 1 < len(model) else docs
-    lettered = _lettered(text)
-    if not model:
-        found = F.struct(F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), lettered.cast("double").alias("wanted"))
-        return docs.withColumn(into, found)
+        docs = stored(docs, "language-part") if i + 1 < len(parts) else docs
+    lettered = F.col(state)["lettered"]
     share = lambda c: F.least(F.exp(F.col(state)[c] - F.col(state)["every"]), F.lit(1.0))
     found = F.struct(
-        F.when(lettered, F.col(state)["label"]).otherwise(UND).alias("lang_pred"),
-        F.when(lettered, share("best")).otherwise(0.0).alias("score"),
+        F.when(lettered & F.col(state)["label"].isNotNull(), F.col(state)["label"]).otherwise(UND).alias("lang_pred"),
+        F.when(lettered & F.col(state)["label"].isNotNull(), share("best")).otherwise(0.0).alias("score"),
         F.when(lettered, share("wanted") if known else F.lit(1.0)).otherwise(0.0).alias("wanted"),
     )
     return docs.withColumn(into, found).drop(state)
