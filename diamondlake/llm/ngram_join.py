@@ -295,19 +295,18 @@ def _represented(members: DataFrame, texts: DataFrame, roots: DataFrame, words:
     """``roots`` with the links that representatives of components have within their clusters."""
     number = 0
     while True:
-        labelled = stored(_labelled(members, roots), "join-labelled")
+        labelled = _labelled(members, roots)
         firsts = [F.min(F.struct(F.xxhash64("sid", F.lit(number * REPRESENTATIVES + i)), "sid"))["sid"] for i in range(REPRESENTATIVES)]
         some = labelled.groupBy("cluster", "comp").agg(F.array_distinct(F.array(*firsts)).alias("sids"))
         some = stored(some.select("cluster", "comp", F.explode("sids").alias("sid")), "join-representatives")
         sizes = some.groupBy("cluster").agg(F.count("*").alias("m"), F.count_distinct("comp").alias("comps")).where("comps > 1")
-        sizes = stored(sizes.select("cluster", _blocks("m").alias("blocks")), "join-sizes")
-        most = sizes.agg(F.max("blocks")).first()[0]
+        sizes = sizes.select("cluster", _blocks("m").alias("blocks"))
         links = None
-        if most:
+        if not sizes.isEmpty():
             own = F.pmod(F.xxhash64("sid", F.lit(-number - 1)), F.col("blocks"))
             rows = some.join(sizes, "cluster").withColumns({"x": own, "y": own}).join(texts, "sid")
             links = stored(_compared(rows, words, percent), "join-links")
-        forget(labelled, some, sizes)
+        forget(some)
         if links is None or links.isEmpty():
             return roots
         roots, number = _with_links(roots, links), number + 1
@@ -382,10 +381,9 @@ def _rooted(keyed: DataFrame, words: int, percent: int) -> DataFrame:
     forget(classes)
     bounded = stored(_bounded(tiles.join(names.select("sid", "bits"), "sid"), percent), "join-bounded")
     tested = stored(bounded.where("a IS NOT NULL").select("a", "b").distinct(), "join-pairs")
-    crowded = stored(bounded.where("a IS NULL").select("g").distinct(), "join-crowded")
-    forget(bounded)
+    crowded = bounded.where("a IS NULL").select("g").distinct()
     dense = stored(tiles.select("g", "sid").join(crowded, "g", "left_semi").distinct(), "join-dense")
-    forget(tiles, crowded)
+    forget(tiles, bounded)
     named = tested.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(dense.select("sid")).distinct()
     texts = stored(_texts(keyed, names.join(named, "sid").select("sid", "k1", "k2")), "join-texts")
     links = stored(_verified(tested, texts, words, percent), "join-links")
