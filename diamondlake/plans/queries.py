@@ -481,10 +481,10 @@ def knn_label_proba(spark, sf_dir):
 
 @over_pitches
 def expected_run_values(p):
-    """Every ball of the season scored by a model of the season, with the defaults of the operator."""
+    """Every ball of the season scored by all balls of the season, however many, with the defaults of the operator."""
     batted = written(runs.batted_balls(_delta(p)).select("PitchUID", "PlayResult", *knn.FEATURES, "run_delta"), "batted")
     weights = [r["weight"] for r in runs.linear_weights(batted).orderBy("place").collect()]
-    return knn.scored(batted, knn.fit(batted, weights)).select("PitchUID", "PlayResult", "xRV")
+    return knn.expected(batted, weights).select("PitchUID", "PlayResult", "xRV")
 
 
 @query
